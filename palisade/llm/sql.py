@@ -34,8 +34,8 @@ targets AS (SELECT source, source_size, budget, CASE WHEN 2 * source_size < leve
 queued AS (SELECT s.*, source_size, budget, target, (sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 finished AS (SELECT *, CASE WHEN target > 0 THEN upto / target ELSE 0 END AS finish FROM queued),
-copies AS (SELECT *, finish + e * source_size / target AS at FROM finished, (VALUES (0), (1)) v(e) WHERE size > 0),
-cut AS (SELECT doc_id, key, source, e, size, (sum(size) OVER (ORDER BY at, source NULLS LAST, e, key, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT <= budget AS taken FROM copies),
+copies AS (SELECT *, finish + e * source_size / target AS vt FROM finished, (VALUES (0), (1)) v(e) WHERE size > 0),
+cut AS (SELECT doc_id, key, source, e, size, (sum(size) OVER (ORDER BY vt, source NULLS LAST, e, key, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT <= budget AS taken FROM copies),
 taken AS (SELECT doc_id, key, source, sum(CASE WHEN taken THEN size ELSE 0 END)::BIGINT AS taken FROM cut GROUP BY ALL)
 SELECT f.doc_id, f.size, f.source_size, f.target, coalesce(t.taken, 0)::BIGINT AS taken, f.finish
 FROM finished f LEFT JOIN taken t ON f.key = t.key AND f.doc_id IS NOT DISTINCT FROM t.doc_id AND f.source IS NOT DISTINCT FROM t.source
