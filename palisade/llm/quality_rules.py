@@ -42,15 +42,26 @@ def _bins(hashes: Column, pairs: Column, buckets: int) -> Column:
     return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda refers to outside itself is computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def repeated_words(windows: Column, n: int) -> Column:
     """Words that lie in windows of n words found at least twice, given the windows' hashes in order."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    near = lambda a, i: F.get(a, i)["h"]
-    again = F.filter(placed, lambda x, i: F.coalesce(x["h"] == near(placed, i - 1), F.lit(False)) | F.coalesce(x["h"] == near(placed, i + 1), F.lit(False)))
-    places = F.array_sort(F.transform(again, lambda x: x["i"]))
-    # the words that each window adds to the windows before it
-    added = F.transform(places, lambda p, k: F.least(F.lit(n), F.coalesce(p - F.get(places, k - 1), F.lit(n))))
-    total = F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def places(sorted_: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["h"] == F.get(sorted_, i)["h"], F.lit(False))
+        again = F.filter(sorted_, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.sort_array(F.transform(again, lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        # the words that each window adds to the windows before it
+        added = F.transform(at, lambda p, k: F.least(F.lit(n), F.coalesce(p - F.get(at, k - 1), F.lit(n))))
+        return F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    total = _let(placed, lambda s: _let(places(s), covered))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(total)
 
 

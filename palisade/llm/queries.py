@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import decontaminate
+from .line_dedup import drop_boilerplate
 from .mixing import fair_queue
 from .packing import pack
+from .quality_rules import quality_rules
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, read_table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_boilerplate(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"])
+    return cut.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("text_sha256"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +41,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op7_token_packing": op7_token_packing,
     "op9_mixing": op9_mixing,

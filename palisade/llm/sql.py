@@ -4,6 +4,16 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _ALNUM = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+OP2 = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, source, text, string_split(text, chr(10)) AS w FROM documents),
+lines AS (SELECT r, i, w[i] AS line, coalesce('s' || source, 'n') AS site FROM docs, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+boiler AS (SELECT line FROM lines WHERE regexp_matches(line, '{_WORDS}') GROUP BY line HAVING count(DISTINCT site) >= 8),
+clean AS (SELECT r, sum((b.line IS NOT NULL)::INT)::BIGINT AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '') AS t
+  FROM lines l LEFT JOIN boiler b USING (line) GROUP BY r)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256
+FROM docs LEFT JOIN clean USING (r)
+"""
+
 OP3 = f"""
 WITH items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, coalesce({_ALNUM.format(_LOWER)}, []) AS w FROM benchmark),
 wins AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
@@ -41,4 +51,4 @@ SELECT f.doc_id, f.size, f.source_size, f.target, coalesce(t.taken, 0)::BIGINT A
 FROM finished f LEFT JOIN taken t ON f.key = t.key AND f.doc_id IS NOT DISTINCT FROM t.doc_id AND f.source IS NOT DISTINCT FROM t.source
 """
 
-SQL = {"op3_decontamination": OP3, "op9_mixing": OP9}
+SQL = {"op2_line_dedup": OP2, "op3_decontamination": OP3, "op9_mixing": OP9}
