@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import decontaminate
+from .html_text import main_text
 from .line_dedup import drop_boilerplate
 from .mixing import fair_queue
 from .packing import pack
@@ -28,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, items, carry=["doc_id"])
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), carry=["page_id", "url"])
+
+
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per packed sequence: the documents in it, lengths, and digests of the id matrix row and position resets."""
     rows = pack(read_table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_packing": op7_token_packing,
     "op9_mixing": op9_mixing,
 }
