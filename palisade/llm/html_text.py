@@ -104,7 +104,8 @@ def blocks(html: str, by_name: bool = True) -> list[tuple[str, bool, int]]:
             if name in _BLOCK and name != "p" or any(s[0] == name for s in stack[-3:]):
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == name:
-                        flush()
+                        if name in _BLOCK or stack[depth][1] != noise:
+                            flush()
                         noise, root = stack[depth][1:]
                         del stack[depth:]
                         break

@@ -12,6 +12,7 @@ from .line_dedup import drop_boilerplate
 from .mixing import fair_queue
 from .packing import pack
 from .quality_rules import quality_rules
+from .toxicity import toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, items, carry=["doc_id"])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), carry=["doc_id"])
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), carry=["page_id", "url"])
 
@@ -49,6 +56,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op6_html_extraction": op6_html_extraction,
     "op7_token_packing": op7_token_packing,
     "op9_mixing": op9_mixing,
