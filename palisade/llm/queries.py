@@ -10,6 +10,7 @@ from .decontamination import decontaminate
 from .html_text import main_text
 from .line_dedup import drop_boilerplate
 from .mixing import fair_queue
+from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .toxicity import toxicity
@@ -36,6 +37,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), carry=["page_id", "url"])
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_html_extraction": op6_html_extraction,
     "op7_token_packing": op7_token_packing,
     "op9_mixing": op9_mixing,
