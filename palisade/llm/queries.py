@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .cotraining import classify
 from .decontamination import decontaminate
 from .html_text import main_text
 from .line_dedup import drop_boilerplate
+from .lm import lm_scores
 from .mixing import fair_queue
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -53,11 +55,22 @@ def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("block", "sequence", "doc_ids", "offsets", listed.alias("cu_seqlens"), F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return classify(docs, read_table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = fair_queue(read_table(spark, sf_dir, "documents"))
     return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "finish")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scores(docs, carry=["doc_id"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -66,5 +79,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_html_extraction": op6_html_extraction,
     "op7_token_packing": op7_token_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
+    "op10_language_model": op10_language_model,
 }

@@ -27,8 +27,11 @@ _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _PLACES = np.array([pow(int(_BASE), 7 * (i + 1), 1 << 64) | 1 for i in range(16)], dtype=_U)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the words' offsets by text (one more than texts)."""
+def word_hashes(texts: list[str | None], tails: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of all texts in order, and the words' offsets by text (one more than texts).
+
+    tails: also the last two bytes of each word, as one number.
+    """
     data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     joined = b" " + b" ".join(data) + b" "
     raw = np.frombuffer(joined.translate(LOWER), dtype=np.uint8)
@@ -54,7 +57,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             s, e = starts[first:last] - begin, ends[first:last] - begin
             h[first:last] = (sums[e] - sums[s]) * down[s]
             first = last
-    return _mix(h + lengths.astype(_U) * _BASE), offsets
+    hashes = _mix(h + lengths.astype(_U) * _BASE)
+    if tails:
+        return hashes, offsets, raw[ends - 1].astype(np.int64) * 256 + np.where(lengths > 1, raw[ends - 2], 0)
+    return hashes, offsets
 
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
