@@ -73,20 +73,32 @@ def meta_features(text: str | None, lang: str | None, source: str | None) -> lis
 
 
 class Sparse:
-    """Rows of (feature numbers, values)."""
+    """Rows of (feature numbers, values). Products go by stretches of entries, so that their temporaries stay small."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
-        self.size, lengths = size, [len(k) for k, _ in rows]
-        self.row = np.repeat(np.arange(len(rows)), lengths)
-        self.key = np.concatenate([k for k, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.rows = len(rows)
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int, stretch: int = 1 << 19):
+        self.size, self.rows = size, len(rows)
+        self.ends = np.cumsum([0, *(len(k) for k, _ in rows)])
+        self.key = np.concatenate([k for k, _ in rows]).astype(np.int32, copy=False) if rows else np.zeros(0, np.int32)
+        self.value = np.concatenate([v for _, v in rows]).astype(np.float32, copy=False) if rows else np.zeros(0, np.float32)
+        cuts = np.searchsorted(self.ends, np.arange(0, self.ends[-1] + stretch, stretch))
+        self.parts = [(a, b) for a, b in zip(cuts[:-1], np.minimum(cuts[1:], self.rows)) if b > a]
+
+    def _rows(self, a: int, b: int) -> np.ndarray:
+        return np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1]))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.value * w[self.key], minlength=self.rows) + w[-1]
+        out = np.full(self.rows, w[-1])
+        for a, b in self.parts:
+            i, j = self.ends[a], self.ends[b]
+            out[a:b] += np.bincount(self._rows(a, b), weights=self.value[i:j] * w[self.key[i:j]], minlength=b - a)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(self.key, weights=self.value * r[self.row], minlength=self.size), r.sum())
+        out = np.zeros(self.size)
+        for a, b in self.parts:
+            i, j = self.ends[a], self.ends[b]
+            out += np.bincount(self.key[i:j], weights=self.value[i:j] * r[a:b][self._rows(a, b)], minlength=self.size)
+        return np.append(out, r.sum())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,6 +156,13 @@ def _featured(docs: DataFrame, text: str, lang: str, source: str, carry: list[st
     return map_columns(docs, [text, lang, source], carry, fields, make)
 
 
+def _lists(column) -> list[np.ndarray]:
+    """The arrays of a list column, as views of one buffer."""
+    whole = column.combine_chunks() if hasattr(column, "chunks") else column
+    values, ends = whole.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(whole.offsets.to_numpy()))])
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", max_labelled: int = 10_000, max_pool: int = 10_000, rounds: int = 3, sure: float = 0.95, share: float = 0.1) -> CoModel:
     """Co-train on the sample. A fifth of the labelled rows is kept aside for calibration."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
@@ -153,15 +172,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     pool = ids.join(known, "__id", "left_anti").orderBy(*order).limit(max_pool).select("__id", F.lit(-1).alias("__y"))
     sample = F.broadcast(chosen.unionByName(pool).withColumnRenamed("__id", "__sid"))
     some = docs.join(sample, F.col(doc_id) == F.col("__sid")).select(F.col("__sid"), "__y", F.col(text).alias("__t"), F.col(lang).alias("__l"), F.col(source).alias("__s"))
-    rows = _featured(some, "__t", "__l", "__s", ["__sid", "__y"]).select(F.xxhash64("__sid").alias("h"), "__y", "__k", "__v", "__m").collect()
-    rows.sort(key=lambda r: r[0])
-    y = np.array([r[1] for r in rows])
+    table = _featured(some, "__t", "__l", "__s", ["__sid", "__y"]).select(F.xxhash64("__sid").alias("h"), "__y", "__k", "__v", "__m").toArrow().combine_chunks()
+    table = table.take(np.argsort(table.column("h").to_numpy(), kind="stable"))
+    hashes, y = table.column("h").to_numpy(), table.column("__y").to_numpy()
     model = CoModel()
     if not (y == 0).any() or not (y == 1).any():
         return model
-    text_rows = [(np.array(r[2], dtype=np.int64), np.array(r[3], dtype=float)) for r in rows]
-    meta_rows = [(np.array(r[4], dtype=np.int64), np.ones(len(r[4]))) for r in rows]
-    aside = (y >= 0) & (np.array([(r[0] >> 7) % 5 for r in rows]) == 2)
+    keys, values, metas = (_lists(table.column(c)) for c in ("__k", "__v", "__m"))
+    text_rows = list(zip(keys, values))
+    meta_rows = [(m, np.ones(len(m), dtype=np.float32)) for m in metas]
+    aside = (y >= 0) & (((hashes >> 7) % 5 == 2))
     if not (y[aside] == 0).any() or not (y[aside] == 1).any():
         aside = y >= 0
     train, pool_at = np.flatnonzero((y >= 0) & ~aside if not aside[y >= 0].all() else y >= 0), np.flatnonzero(y < 0)

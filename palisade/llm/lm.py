@@ -3,15 +3,15 @@
 P(token | history) = P(class | history) * P(token | class). A token's class comes from its spelling (the hash of its
 last two bytes), so unseen tokens have one too; the end of a text is a class of its own. The class softmax is a
 maximum-entropy model whose logits sum one weight row for each active feature: a constant, the hashed token before,
-the class of the token before that (a skip), and the hashed pair of the classes of both. Inside a class the model is
+the class of the token before that (a skip), and the hashed pair of both. Inside a class the model is
 the maximum-entropy solution for constant features, the smoothed share (count + 1) / (class count + class types + 1),
 where the one extra type stands for what training didn't see. All outcomes of a position have a total of 1.
 
 Training reads all training tokens once. Its sums by (history, class), which the gradient needs and which grow with
 the corpus, are added up in tasks and then by key; there are at most WORDS * CLASSES histories. Gradient epochs run over
 those sums, spread over tasks: each task gets the weights, returns its part of the gradient, and the driver takes a
-step for each weight. The weight matrix has a fixed size. Scoring gathers and adds the sparse weight rows of the
-distinct histories of a batch in numpy.
+step for each weight. The weight matrix has a fixed size. The normalising sums of all histories go to the tasks with
+the weights, so scoring gathers and adds a few sparse weights for each token of a batch in numpy.
 
 Counts of all training tokens are exact, by the upper 56 bits of a hash and the class. A vocabulary of up to `broadcast_types` types goes to the
 tasks as two sorted arrays; a larger one is joined by shuffle with each text's distinct tokens.
@@ -60,28 +60,29 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     one[start] = int(_mix(np.array([_END]).view(_U))[0] % _U(WORDS))
     two[start] = 0
     two[np.minimum(start + 1, len(h) - 1)] = 0
-    first = np.empty_like(cls)
-    first[1:], first[0] = cls[:-1], 0
-    first[start] = 0
-    return h, cls, (one * CLASSES + two) * CLASSES + first, at
+    return h, cls, one * CLASSES + two, at
 
 
 def feature_rows(history: np.ndarray) -> np.ndarray:
     """The active weight rows of each history, one column for each kind of feature."""
-    one, two, first = history // (CLASSES * CLASSES), history // CLASSES % CLASSES, history % CLASSES
-    pair = (_mix((first * CLASSES + two).astype(_U)) % _U(PAIRS)).astype(np.int64)
+    one, two = history // CLASSES, history % CLASSES
+    pair = (_mix(history.astype(_U)) % _U(PAIRS)).astype(np.int64)
     return np.stack([np.zeros_like(one), 1 + one, 1 + WORDS + two, 1 + WORDS + CLASSES + pair], axis=1)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[rows[:, 3]]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[rows[:, 3]]
+
+
+def log_sums(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1, keepdims=True)
+    return top + np.log(np.exp(x - top).sum(axis=1, keepdims=True))
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # ROWS x CLASSES
+    normal: np.ndarray  # the log of the normalising sum of each history
     class_tokens: np.ndarray
     class_types: np.ndarray
     counts: DataFrame  # h, n
@@ -144,7 +145,7 @@ def fit(train: DataFrame, *, text: str = "text", epochs: int = 8, rate: float =
         class_tokens[c], class_types[c] = n, t
     cells = sums.where("kind = 1").select(F.shiftright("key", CLASSES.bit_length() - 1).alias("history"), F.col("key").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("c"), "n")
     cells = cells.groupBy("history").agg(F.collect_list("c").alias("c"), F.collect_list("n").alias("n"))
-    cells = staged(cells.repartition(tasks, "history"), "lm-histories")
+    cells = staged(cells.repartition(tasks), "lm-histories")
     start = np.log((class_tokens + 1) / (class_tokens + 1).sum())
     weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
     weights[0] = start
@@ -152,7 +153,9 @@ def fit(train: DataFrame, *, text: str = "text", epochs: int = 8, rate: float =
         seen, expected = _expectations(cells, weights)
         # the gradient of the penalised log-likelihood, with a step for each weight from its expected count
         weights = weights + (rate * (seen - expected) / (expected + ridge)).astype(np.float32)
-    return Model(weights, class_tokens, class_types, counts)
+    every = np.arange(WORDS * CLASSES)
+    normal = np.concatenate([log_sums(logits(weights, feature_rows(part)))[:, 0] for part in np.array_split(every, 128)])
+    return Model(weights, normal, class_tokens, class_types, counts)
 
 
 def _expectations(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,26 +164,28 @@ def _expectations(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np
 
     def run(batches):
         w = shared.value
-        seen, expected = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
+        seen, expected, some = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES)), False
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+                batch, some = whole.slice(at, 1024), True
                 history, lists = batch.column(0).to_numpy(), batch.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
                 where = np.repeat(np.arange(len(history)), lengths)
                 n = np.zeros((len(history), CLASSES))
                 np.add.at(n, (where, lists.flatten().to_numpy()), batch.column(2).flatten().to_numpy())
                 rows = feature_rows(history)
-                p = np.exp(log_softmax(w, rows)) * n.sum(axis=1, keepdims=True)
+                x = logits(w, rows)
+                p = np.exp(x - log_sums(x)) * n.sum(axis=1, keepdims=True)
                 for kind in range(rows.shape[1]):
                     order = np.argsort(rows[:, kind], kind="stable")
                     keys, first = np.unique(rows[order, kind], return_index=True)
                     seen[keys] += np.add.reduceat(n[order], first)
                     expected[keys] += np.add.reduceat(p[order], first)
-        yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes()]), pa.array([expected.astype(np.float32).tobytes()])], names=["s", "e"])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes()]), pa.array([expected.astype(np.float32).tobytes()])], names=["s", "e"])
 
     total = [np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))]
-    for row in cells.mapInArrow(run, "s binary, e binary").toLocalIterator():
+    for row in cells.mapInArrow(run, "s binary, e binary").collect():  # a row for each of the fixed number of tasks
         for t, blob in zip(total, row):
             t += np.frombuffer(blob, dtype=np.float32).reshape(ROWS, CLASSES)
     return total[0], total[1]
@@ -221,25 +226,21 @@ def _counted_by_shuffle(docs: DataFrame, model: Model, doc_id: str, text: str) -
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, broadcast_types: int = 6_000_000) -> DataFrame:
     """The rows of docs with n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability)."""
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n for n, _ in _FIELDS}]
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.normal))
     total, types = model.total, model.types
     base, inside = float(np.log10(total + types + 1)), np.log10(model.class_tokens + model.class_types + 1)
     here = _counted_here(docs, model, text) if types <= broadcast_types else None
     fields = [T.StructField("__n", T.LongType()), T.StructField("__c", T.DoubleType()), T.StructField("__k", T.LongType()), T.StructField("__l", T.DoubleType())]
 
     def make():
-        w = weights.value
+        w, normal = shared.value
         keys, n = here.value if here is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def run(cols):
             h, cls, history, at = tokens(cols[0].to_pylist())
-            logs = np.zeros(len(h))
-            distinct, where = np.unique(history, return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            for first in range(0, len(distinct), 2048):
-                some = order[np.searchsorted(where[order], first) : np.searchsorted(where[order], first + 2048)]
-                p = log_softmax(w, feature_rows(distinct[first : first + 2048]))
-                logs[some] = p[where[some] - first, cls[some]]
+            logs = -normal[history].astype(float)
+            for column in feature_rows(history).T:
+                logs += w[column, cls]
             logs = logs / np.log(10.0) - inside[cls]
             known, tops = np.zeros(len(h), dtype=bool), np.zeros(len(h))
             if len(keys):

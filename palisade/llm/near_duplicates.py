@@ -9,10 +9,12 @@ second signature of 256 bits, the lowest bit of 256 minwise hashes, has a distan
 pair at 0.75 passes but for 1 in a million; the set sizes bound the similarity as well. Every link is then confirmed
 on the full sets.
 
-Links are found in two rounds, so that a group of copies never becomes all its pairs. First each node is compared
-with the least node of each of its buckets only, which is linear in the nodes. The links give components. Then only
-buckets that still hold several components are joined, only for pairs of different components within the distance
-threshold; what is left after that has no link. Components come from repeated contraction; no link, component or
+Links are found in rounds, so that a group of copies never becomes all its pairs. First each node is compared with
+the least node of each of its buckets only, which is linear in the nodes. The links give components. As long as the
+buckets that still hold several components would give more pairs of different components than they have rows (and for
+at most `star_rounds` rounds), each bucket gets another leader by hash, and only nodes outside its component are
+compared with it. The last round compares all pairs of different components that share a bucket and lie within the
+distance threshold; what is left after that has no link. Components come from repeated contraction; no link, component or
 set reaches the driver.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing, not even with another
@@ -144,7 +146,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, star_rounds: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, node, component_id and kept."""
     rows = staged(_signed(docs, doc_id, text, k, chunks, width), "near-rows")
     filled = rows.where("n > 0")
@@ -166,7 +168,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def named(frame: DataFrame, a: str) -> DataFrame:
         return frame.withColumnsRenamed({c: f"{a}{c}" for c in frame.columns})
 
-    star = bucketed.where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()
+    star = bucketed.where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()  # u > v
     star = star.join(named(about, "a_"), F.col("u") == F.col("a_node")).join(named(about, "b_"), (F.col("v") == F.col("b_node")) & near("a_", "b_")).select("u", "v")
     star = staged(star, "near-star")
 
@@ -178,15 +180,34 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = confirmed(star)
     first = components(links)
 
-    rooted = bucketed.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = staged(rooted.join(open_, "key", "left_semi").join(about, "node"), "near-rest")
-    met = named(rest, "a_").join(named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
-    more = met.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
-    more = staged(more.join(star, ["u", "v"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more))
-        first = components(links)
+    tested, size = star, bucketed.count()
+    for turn in range(star_rounds + 1):
+        rooted = bucketed.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        several = staged(several.select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("cross")).where("cross > 0"), "near-open")
+        cross = several.agg(F.sum("cross")).first()[0]
+        if not cross:
+            break
+        rest = staged(rooted.join(several.select("key"), "key", "left_semi").join(about, "node"), "near-rest")
+        last = turn == star_rounds or cross <= size
+        if last:  # what is left is linear in the buckets, or stars no longer help: all pairs of different components
+            met = named(rest, "a_").join(named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
+        else:  # another leader for each bucket, by a hash of both
+            lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("x"), F.col("node").alias("l"), F.col("root").alias("r"))).alias("s")).select(F.col("key").alias("lead_key"), "s.l", "s.r")
+            led = named(rest, "a_").join(lead, F.col("a_key") == F.col("lead_key")).where("a_root <> r").select("a_node", "a_n", "a_bits", "l").distinct()
+            met = led.join(named(about, "b_"), (F.col("l") == F.col("b_node")) & near("a_", "b_"))
+        more = met.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
+        more = staged(more.join(tested, ["u", "v"], "left_anti"), "near-more")
+        if more.isEmpty():
+            if last:
+                break
+            continue
+        tested, found = tested.unionByName(more), confirmed(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            first = components(links)
+        if last:
+            break
 
     rooted = classes.join(first, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("id").alias("component"))

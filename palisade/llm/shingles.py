@@ -96,7 +96,6 @@ class Signer:
     def __init__(self, symbols: int, bits: int = 16, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.a = rng.integers(0, 1 << 32, symbols, dtype=np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, symbols, dtype=np.uint32)
         self.mask = _U((1 << bits) - 1)
 
     def sign(self, values: np.ndarray) -> np.ndarray:
@@ -104,5 +103,5 @@ class Signer:
         least = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
         for at in range(0, len(x), 512):
             part = x[at : at + 512]
-            least = np.minimum(least, (part[None, :] * self.a[:, None] + self.b[:, None]).min(axis=1))
+            least = np.minimum(least, (part[None, :] * self.a[:, None]).min(axis=1))
         return _mix(least.astype(_U) + self.a.astype(_U)) & self.mask
