@@ -39,7 +39,7 @@ def is_ip(token: Column) -> Column:
 
 
 def has_ip(value: Column) -> Column:
-    tokens = F.regexp_extract_all(value, F.lit("[0-9a-f:.]+"), F.lit(0))
+    tokens = F.regexp_extract_all(value, F.lit("[0-9a-f:.]*[:.][0-9a-f:.]*"), F.lit(0))
     possible = value.rlike(r":[0-9a-f.]*:|[0-9](?:\.[0-9]+){3}")
     return possible & F.exists(tokens, lambda t: is_ip(F.regexp_replace(t, r"^\.+|\.+$", "")))
 

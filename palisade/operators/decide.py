@@ -172,11 +172,13 @@ def analyze(df: DataFrame, text: str = "text", *, policies: list[Policy] | None
         return df.withColumn(out, unavailable())
     columns = [F.col(f"`{c}`") for c in df.columns if c != out]
     codes_of = {p.code for p in chosen}
-    bound = df.select(*columns, _bound(F.col(text)).alias("__v"))
+    # one-element explodes keep the optimiser from copying these columns into filters that it pushes down
+    bound = df.select(*columns, F.explode(F.array(_bound(F.col(text)))).alias("__v"))
     codes, late = matched_codes(chosen, F.col("__v"), settings)
     broken = F.exists("__v", lambda v: validators.has_broken_url(v["t"])) if codes_of & {"INTERNAL_DOMAIN", "CONNECTION_STRING"} else F.lit(False)
     failed = F.col("__v").isNull() | late | broken
-    judged = bound.select(*columns, codes.alias("__codes"), F.coalesce(failed, F.lit(True)).alias("__failed"))
+    both = F.struct(codes.alias("codes"), F.coalesce(failed, F.lit(True)).alias("failed"))
+    judged = bound.select(*columns, F.explode(F.array(both)).alias("__j")).select(*columns, F.col("__j.codes").alias("__codes"), F.col("__j.failed").alias("__failed"))
     for scorer in scorers or []:
         judged = scorer.extend(judged, text, chosen)
     return judged.select(*columns, F.when(F.col("__failed"), unavailable()).otherwise(_result(F.col("__codes"), chosen)).alias(out))

@@ -37,7 +37,7 @@ _LUHN = (
 )
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SPECIAL = {
-    "CREDIT_CARD": "len(list_filter(list_transform(regexp_extract_all(' ' || v, '[^0-9]((?:[0-9][ -]?){13,19})', 1), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: " + _LUHN.format("d") + ")) > 0",
+    "CREDIT_CARD": "len(list_filter(list_transform(regexp_extract_all(' ' || v, '[^0-9]((?:[0-9][ -]?){13,19})(?:[^0-9]|$)', 1), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: " + _LUHN.format("d") + ")) > 0",
     "IP_ADDRESS": f"regexp_matches(v, '(?:^|[^0-9a-f:.])\\.*{_OCTET}(?:\\.{_OCTET}){{3}}\\.*(?:[^0-9a-f:.]|$)') OR regexp_matches(v, '(?:^|[^0-9a-f:.])(?:[0-9a-f]{{1,4}})?::(?:[0-9a-f]{{1,4}})?(?:[^0-9a-f:.]|$)')",
     "INTERNAL_KEYWORD": "contains(v, 'test-orion')",
     "INTERNAL_DOMAIN": "contains(v, 'corp.example') OR contains(v, 'internal.example') OR regexp_matches(v, 'https?://(?:[^\\s<>/?#]*@)?[^\\s<>/?#:@]*\\.(?:local|internal|corp)(?:[:/?#\\s<>]|$)')",
