@@ -9,12 +9,12 @@ second signature of 256 bits, the lowest bit of 256 minwise hashes, has a distan
 pair at 0.75 passes but for 1 in a million; the set sizes bound the similarity as well. Every link is then confirmed
 on the full sets.
 
-Links are found in rounds, so that a group of copies never becomes all its pairs. First each node is compared with
-the least node of each of its buckets only, which is linear in the nodes. The links give components. As long as the
-buckets that still hold several components would give more pairs of different components than they have rows (and for
-at most `star_rounds` rounds), each bucket gets another leader by hash, and only nodes outside its component are
-compared with it. The last round compares all pairs of different components that share a bucket and lie within the
-distance threshold; what is left after that has no link. Components come from repeated contraction; no link, component or
+A group of copies never becomes all its pairs. A shingle that no other node of any bucket has can be common to
+no pair, so it bounds every similarity of its node. The node of each bucket with the fewest of these leads it, and
+each other node is compared with its leaders only, which is linear in the nodes; the links give components. Then
+nodes whose own shingles rule out any link are left out, and the buckets that still hold several components compare
+pairs of different components that the bound, the set sizes and the
+distance threshold allow; what is left after that has no link. Components come from repeated contraction; no link, component or
 set reaches the driver.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing, not even with another
@@ -100,6 +100,22 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame, br
     return map_columns(some, ["text"], [], fields, make)
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of each set no other of these sets has. Of equal nodes one counts."""
+
+    def listed(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                members = [np.frombuffer(m.as_buffer(), dtype=np.int64) for m in batch.column(1)]
+                nodes = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), [len(m) for m in members])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(members) if members else np.zeros(0, np.int64))], names=["node", "s"])
+
+    rows = sets.where("node is not null").mapInArrow(listed, "node long, s long")
+    single = rows.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return single.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have at least percent / 100 of their union in common."""
     left = sets.withColumnsRenamed({"node": "nu", "members": "mu"})
@@ -146,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, star_rounds: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, node, component_id and kept."""
     rows = staged(_signed(docs, doc_id, text, k, chunks, width), "near-rows")
     filled = rows.where("n > 0")
@@ -157,57 +173,48 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = staged(filled.select("node", "n", "keys", "bits").dropDuplicates(["node"]), "near-nodes")
 
     keyed = signed.select(F.col("node"), F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
-    bucketed = staged(keyed.join(least, "key"), "near-buckets")
-    about = signed.select("node", "n", "bits")
+    several = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    bucketed = staged(keyed.join(several, "key", "left_semi"), "near-buckets")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _sets(docs, doc_id, text, k, classes.join(nodes, "node", "left_semi").select("id"), broadcast_rows)
+
+    own = staged(_own_shingles(sets_of(bucketed.select("node").distinct())), "near-own")
+    about = staged(signed.select("node", "n", "bits").join(bucketed.select("node").distinct(), "node", "left_semi").join(own, "node", "left").na.fill(0, ["own"]), "near-about")
 
     def near(a: str, b: str):
         bits = sum((F.bit_count(F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))) for i in range(_BITS // 64)), F.lit(0))
-        return (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")) & (bits <= max_bits)
+        common = F.least(F.col(f"{a}n") - F.col(f"{a}own"), F.col(f"{b}n") - F.col(f"{b}own"))
+        return (100 * common >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - common)) & (bits <= max_bits)
 
     def named(frame: DataFrame, a: str) -> DataFrame:
         return frame.withColumnsRenamed({c: f"{a}{c}" for c in frame.columns})
 
-    star = bucketed.where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()  # u > v
-    star = star.join(named(about, "a_"), F.col("u") == F.col("a_node")).join(named(about, "b_"), (F.col("v") == F.col("b_node")) & near("a_", "b_")).select("u", "v")
-    star = staged(star, "near-star")
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = classes.join(nodes, "node", "left_semi").select("id")
-        return staged(_confirmed(pairs, _sets(docs, doc_id, text, k, wanted, broadcast_rows), percent), "near-links")
+        return staged(_confirmed(pairs, sets_of(nodes), percent), "near-links")
 
+    # the leader of a bucket is the node with the fewest shingles of its own: the one that its copies are nearest to
+    ranked = bucketed.join(about.select("node", "own"), "node")
+    lead = ranked.groupBy("key").agg(F.min(F.struct("own", "node")).alias("s")).select("key", F.col("s.node").alias("lead"))
+    star = ranked.join(lead, "key").where("node <> lead").select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct()
+    star = star.join(named(about, "a_"), F.col("u") == F.col("a_node")).join(named(about, "b_"), (F.col("v") == F.col("b_node")) & near("a_", "b_")).select("u", "v")
+    star = staged(star, "near-star")
     links = confirmed(star)
     first = components(links)
 
-    tested, size = star, bucketed.count()
-    for turn in range(star_rounds + 1):
-        rooted = bucketed.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        several = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        several = staged(several.select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("cross")).where("cross > 0"), "near-open")
-        cross = several.agg(F.sum("cross")).first()[0]
-        if not cross:
-            break
-        rest = staged(rooted.join(several.select("key"), "key", "left_semi").join(about, "node"), "near-rest")
-        last = turn == star_rounds or cross <= size
-        if last:  # what is left is linear in the buckets, or stars no longer help: all pairs of different components
-            met = named(rest, "a_").join(named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
-        else:  # another leader for each bucket, by a hash of both
-            lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("x"), F.col("node").alias("l"), F.col("root").alias("r"))).alias("s")).select(F.col("key").alias("lead_key"), "s.l", "s.r")
-            led = named(rest, "a_").join(lead, F.col("a_key") == F.col("lead_key")).where("a_root <> r").select("a_node", "a_n", "a_bits", "l").distinct()
-            met = led.join(named(about, "b_"), (F.col("l") == F.col("b_node")) & near("a_", "b_"))
-        more = met.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
-        more = staged(more.join(tested, ["u", "v"], "left_anti"), "near-more")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        tested, found = tested.unionByName(more), confirmed(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            first = components(links)
-        if last:
-            break
+    # nodes whose own shingles alone keep them from any link are out; the rest meets in buckets of several components
+    able = (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    rooted = bucketed.join(about.where(able), "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = staged(rooted, "near-rooted")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = staged(rooted.join(open_, "key", "left_semi"), "near-rest")
+    met = named(rest, "a_").join(named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
+    more = met.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
+    more = staged(more.join(star, ["u", "v"], "left_anti"), "near-more")
+    if not more.isEmpty():
+        links = links.unionByName(confirmed(more))
+        first = components(links)
 
     rooted = classes.join(first, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("id").alias("component"))
