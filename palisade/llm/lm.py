@@ -149,8 +149,10 @@ def fit(train: DataFrame, *, text: str = "text", epochs: int = 8, rate: float =
     start = np.log((class_tokens + 1) / (class_tokens + 1).sum())
     weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
     weights[0] = start
+    seen = None
     for _ in range(epochs):
-        seen, expected = _expectations(cells, weights)
+        first, expected = _expectations(cells, weights, seen is None)
+        seen = first if seen is None else seen
         # the gradient of the penalised log-likelihood, with a step for each weight from its expected count
         weights = weights + (rate * (seen - expected) / (expected + ridge)).astype(np.float32)
     every = np.arange(WORDS * CLASSES)
@@ -158,8 +160,8 @@ def fit(train: DataFrame, *, text: str = "text", epochs: int = 8, rate: float =
     return Model(weights, normal, class_tokens, class_types, counts)
 
 
-def _expectations(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seen and expected sums of each weight's feature, added up over the tasks."""
+def _expectations(cells: DataFrame, weights: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Seen (if both) and expected sums of each weight's feature, added up over the tasks."""
     shared = cells.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -179,24 +181,34 @@ def _expectations(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np
                 for kind in range(rows.shape[1]):
                     order = np.argsort(rows[:, kind], kind="stable")
                     keys, first = np.unique(rows[order, kind], return_index=True)
-                    seen[keys] += np.add.reduceat(n[order], first)
+                    if both:
+                        seen[keys] += np.add.reduceat(n[order], first)
                     expected[keys] += np.add.reduceat(p[order], first)
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes()]), pa.array([expected.astype(np.float32).tobytes()])], names=["s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes() if both else b""]), pa.array([expected.astype(np.float32).tobytes()])], names=["s", "e"])
 
     total = [np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))]
     for row in cells.mapInArrow(run, "s binary, e binary").collect():  # a row for each of the fixed number of tasks
         for t, blob in zip(total, row):
-            t += np.frombuffer(blob, dtype=np.float32).reshape(ROWS, CLASSES)
+            if blob:
+                t += np.frombuffer(blob, dtype=np.float32).reshape(ROWS, CLASSES)
     return total[0], total[1]
 
 
 def _counted_here(docs: DataFrame, model: Model, text: str) -> tuple:
     """A function from token keys to their counts, from two sorted arrays that each task gets."""
-    table = model.counts.toArrow()
-    keys, n = table.column(0).to_numpy(), table.column(1).to_numpy()
-    order = np.argsort(keys)
-    return docs.sparkSession.sparkContext.broadcast((keys[order], n[order].astype(np.uint32) if len(n) and n.max() < 1 << 32 else n[order]))
+    small = model.total < 1 << 31
+    table = model.counts.select("h", F.col("n").cast("int" if small else "long").alias("n")).toArrow()
+    keys, n, at = np.empty(len(table), np.int64), np.empty(len(table), np.int32 if small else np.int64), 0
+    for batch in table.to_batches():  # copied piece by piece, so that few copies are alive at once
+        keys[at : at + len(batch)], n[at : at + len(batch)] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        at += len(batch)
+    del table
+    pa.default_memory_pool().release_unused()
+    order = np.argsort(keys).astype(np.int32 if at < 1 << 31 else np.int64)
+    keys, n = keys[order], n[order]
+    del order
+    return docs.sparkSession.sparkContext.broadcast((keys, n))
 
 
 def _counted_by_shuffle(docs: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
