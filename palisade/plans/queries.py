@@ -10,6 +10,7 @@ from ..functions.validators import entropy, luhn
 from ..operators import chunks, evaluate, gateway, prepare
 from ..operators.decide import analyze, analyze_distinct, is_topic_question
 from ..policies import LABELS, policy_frame, seed
+from ..session import shared_checkpoints, spread
 from ..sources.readers import synthetic_examples
 
 
@@ -22,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "analysis")
+    return analyze(spread(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))).select("doc_id", "lang", "source", "analysis")
 
 
 def normalize_digest(spark, sf_dir):
@@ -81,7 +82,7 @@ def reason_counts(spark, sf_dir):
 
 
 def page_decisions(spark, sf_dir):
-    judged = analyze(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    judged = analyze(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html")
     return judged.select("page_id", F.col("analysis.decision").alias("decision"), F.array_join("analysis.matched_policy_codes", ",").alias("codes"))
 
 
@@ -159,8 +160,6 @@ def dedupe_records(spark, sf_dir):
 
 
 def group_propagation(spark, sf_dir):
-    from ..session import shared_checkpoints
-
     shared_checkpoints(spark)
     done = prepare.propagate(prepare.records(_adapted(spark, sf_dir)))
     return done.select("text_sha256", "split", "conflict")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "palisade") -> SparkSession:
@@ -32,3 +32,13 @@ def shared_checkpoints(spark: SparkSession) -> None:
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer partitions than cores (one small file); else as they are.
+
+    For work that costs far more a row than moving the row does. A large input has more partitions than cores, and
+    isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
