@@ -59,7 +59,7 @@ def _nodes(values: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, k: int, chunks: int, width: int) -> DataFrame:
-    """(id, n, node, proof, keys, bits) of each row: node and proof are halves of the set's digest."""
+    """(id, x, n, node, proof, keys, bits) of each row: x is the text's hash, node and proof are halves of the set's digest."""
     long = T.LongType()
     fields = [T.StructField("n", long), T.StructField("node", long), T.StructField("proof", long), T.StructField("keys", T.ArrayType(long)), T.StructField("bits", T.ArrayType(long))]
 
@@ -80,7 +80,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, k: int, chunks: int, width:
 
         return run
 
-    return map_columns(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), ["text"], ["id"], fields, make)
+    return map_columns(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("x"), F.col(text).alias("text")), ["text"], ["id", "x"], fields, make)
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -162,8 +162,8 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, node, component_id and kept."""
+def _classified(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, chunks: int, width: int, max_bits: int, broadcast_rows: int) -> DataFrame:
+    """(id, x, n, node, root, component) of each row: root, null for an empty set, is the least node of its component, component the least id."""
     rows = staged(_signed(docs, doc_id, text, k, chunks, width), "near-rows")
     filled = rows.where("n > 0")
     classes = filled.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("proof").alias("p"), F.max("proof").alias("q"))
@@ -218,24 +218,34 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     rooted = classes.join(first, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named_nodes = staged(rooted.join(least_id, "root").select(F.col("node").alias("__node"), "component"), "near-components")
-    out = rows.select("id", "n", "node").join(named_nodes, F.col("node") == F.col("__node"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "node", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    named_nodes = staged(rooted.join(least_id, "root").select(F.col("node").alias("__node"), "root", "component"), "near-components")
+    out = rows.select("id", "x", "n", "node").join(named_nodes, F.col("node") == F.col("__node"), "left")
+    return out.select("id", "x", "n", "node", "root", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, node, component_id and kept."""
+    found = _classified(docs, doc_id, text, k, percent, chunks, width, max_bits, broadcast_rows)
+    return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "node", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
 
 
-def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose id is the least of their component, with the input's columns; of repeated rows one stays.
+def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row of each component, one of those with its least id, and all rows of empty sets, with the input's columns.
 
-    Rows that aren't the only ones of their component are few against the texts: their ids are taken out by an
-    anti-join, broadcast only if there are at most broadcast_rows of them.
+    Rows are told apart by id and text hash, since a null or repeated id can stand on several texts. Where several
+    texts of a component have its least id, that of least hash stays. Rows that aren't the only ones of their component
+    are few against the texts: their ids and hashes are taken out by an anti-join, broadcast only if there are at most
+    broadcast_rows of them.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, k=k, percent=percent)
-    gone = staged(found.where(~F.col("kept")).select(F.col(doc_id).alias("__gone")).distinct(), "near-gone")
+    found = staged(_classified(docs, doc_id, text, k, percent, chunks, width, max_bits, broadcast_rows).where("n > 0").select("id", "x", "root", F.col("component").eqNullSafe(F.col("id")).alias("least")), "near-found")
+    several = staged(found.where("least").groupBy("root").agg(F.min("x").alias("stays"), F.count("*").alias("rows")).where("rows > 1").select("root", "stays"), "near-several")
+    beaten = found.where("least").join(several, "root").where("x <> stays").select("id", "x")
+    gone = staged(found.where("not least").select("id", "x").unionByName(beaten).distinct().select(F.col("id").alias("__id"), F.col("x").alias("__x")), "near-gone")
+    repeated = staged(found.where("least").join(several, "root").where("x = stays").groupBy("id", "x").count().where("count > 1").select(F.col("id").alias("__id"), F.col("x").alias("__x")), "near-repeated")
     some = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    left = docs.join(some, F.col(doc_id).eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = staged(found.where("kept and n_shingles > 0").groupBy(F.col(doc_id).alias("__id")).count().where("count > 1").select("__id"), "near-repeated")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__x"))
+    left = docs.join(some, same, "left_anti")
     if repeated.isEmpty():
         return left
-    twice = left.join(repeated, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
-    return left.join(repeated, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti").unionByName(twice)
+    twice = left.join(repeated, same, "left_semi").withColumn("__x", F.xxhash64(text)).dropDuplicates([doc_id, "__x"]).drop("__x")
+    return left.join(repeated, same, "left_anti").unionByName(twice)

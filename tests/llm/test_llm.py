@@ -202,6 +202,19 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_without_duplicates_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, stand or fall by their own texts; of each component one row stays."""
+    a, b, c, d, e, f, g = (prose(60, 700 + i) for i in range(7))
+    near = e + " extra tail"
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, a), (None, e), (None, near), (3, f), (3, g), (3, g), (4, None), (4, ""), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    for broadcast_rows in (1_000_000, 0):
+        left = Counter((r["doc_id"], r["text"]) for r in near_duplicates.without_duplicates(df, broadcast_rows=broadcast_rows).collect())
+        assert left[None, e] + left[None, near] == 1
+        del left[None, e], left[None, near]
+        assert +left == Counter([(1, a), (None, b), (None, c), (2, d), (3, f), (3, g), (4, None), (4, ""), (None, None), (None, None)])
+
+
 def test_near_duplicate_family(spark):
     """A family of edited copies: links only between some of them, found whatever the leaders are."""
     base = prose(200, 77).split()
