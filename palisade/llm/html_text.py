@@ -4,8 +4,11 @@ The markup is cut into blocks, one for each block-level element (the "lines" of
 that never hold an article's text (menus, headers and footers of the page, sidebars, forms, notices, adverts, reader
 comments, by their element, role, class or id) have no length in the distribution. The lengths of the other blocks
 are summed over a sliding window of lines; where the sum rises above `surge` the text begins, where it falls to
-nothing it ends (the dive), and of all such stretches the one with most text is the article, together with the
-stretches under the same content root. What stands between is kept, short lines included.
+nothing it ends (the dive), and of all such stretches the one with most text is the article, together with what stands
+in the same container: the innermost one that holds most of the stretch. So noise inside an article doesn't end it,
+and its short opening and closing lines stay. Neighbours of the container's element and class belong to it, too, and so
+does a heading directly above. Where `article` or `main` hold the text, they are the containers, and text beside one
+belongs to it where it rises above `surge`.
 
 Defined results: a null, empty or textless page gives the empty text. Character references are decoded once; white
 space inside a block becomes one space; blocks are trimmed and joined in page order by one newline. Unclosed and
@@ -16,6 +19,7 @@ empty result. Input columns named like a result column are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -43,11 +47,20 @@ _NOISE_NAMES = re.compile(rf"(?!(?:has|with|no|is|show|page)[-_])(?:(?:{_NOISE_W
 #: What marks an article or main element as no article: those that hold reader comments or teasers.
 _NOISE_ARTICLES = re.compile(r"(?:comments?|reply|replies|related|promos?|ads?|adverts?|teasers?|sponsor|sponsored)(?:[-_\d].*)?", re.I)
 _CONTENT = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: The elements that hold parts of a page. The other block-level ones are parts of a text, or the whole page.
+_CONTAINERS = {"article", "aside", "center", "dialog", "div", "fieldset", "footer", "form", "header", "main", "nav", "section", "td", "th"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s>/]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_CLASS = re.compile(r"\bclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
 
+#: (text, noise, content root, container, heading)
+Block = tuple[str, bool, int, int, bool]
+#: (container around it, element, class) of each container; the first is the page.
+Places = list[tuple[int, str, str]]
+
 
 def _is_noise(name: str, tag: str, in_content: bool, by_name: bool) -> bool:
     """Whether an element holds no article text. A header inside the article is the article's own."""
@@ -67,21 +80,22 @@ def _is_noise(name: str, tag: str, in_content: bool, by_name: bool) -> bool:
     return False
 
 
-def blocks(html: str, by_name: bool = True) -> list[tuple[str, bool, int]]:
-    """(text, noise, content root) of each block that has text, in page order. Root 0: outside article and main.
+def blocks(html: str, by_name: bool = True) -> tuple[list[Block], Places]:
+    """Each block that has text, in page order, and the containers. Root 0: outside article and main; others are containers.
 
     by_name: whether class names and ids tell noise.
     """
-    out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []
+    out: list[Block] = []
+    places: Places = [(0, "", "")]
+    stack: list[tuple[str, bool, int, int]] = []
     piece: list[str] = []
-    noise, root, roots, at, end = False, 0, 0, 0, len(html)
+    noise, root, place, at, end = False, 0, 0, 0, len(html)
 
     def flush() -> None:
         if piece:
             text = _SPACE.sub(" ", unescape("".join(piece))).strip()
             if text:
-                out.append((text, noise, root))
+                out.append((text, noise, root, place, any(s[0] in _HEADINGS for s in stack[-3:])))
             piece.clear()
 
     while at < end:
@@ -106,7 +120,7 @@ def blocks(html: str, by_name: bool = True) -> list[tuple[str, bool, int]]:
                     if stack[depth][0] == name:
                         if name in _BLOCK or stack[depth][1] != noise:
                             flush()
-                        noise, root = stack[depth][1:]
+                        noise, root, place = stack[depth][1:]
                         del stack[depth:]
                         break
             continue
@@ -117,38 +131,28 @@ def blocks(html: str, by_name: bool = True) -> list[tuple[str, bool, int]]:
         if name in _VOID or tag.endswith("/>"):
             continue
         if name in _BLOCK and stack and stack[-1][0] == "p":  # a block closes an open paragraph
-            noise, root = stack[-1][1:]
+            noise, root, place = stack[-1][1:]
             stack.pop()
         if name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            noise, root = stack[-1][1:]
+            noise, root, place = stack[-1][1:]
             stack.pop()
         bad = not noise and _is_noise(name, tag, root > 0, by_name)
         if bad or name in _CONTENT:
             flush()
-        stack.append((name, noise, root))
+        stack.append((name, noise, root, place))
+        if name in _CONTAINERS:
+            named = _CLASS.search(tag)
+            places.append((place, name, named.group(1).strip("\"'") if named else ""))
+            place = len(places) - 1
         if name in _CONTENT and not root and not noise:
-            roots += 1
-            root = roots
+            root = place
         noise = noise or bad
     flush()
-    return out
+    return out, places
 
 
-def main_blocks(found: list[tuple[str, bool, int]], window: int = 3, surge: int = 80) -> list[str]:
-    """The blocks between surge and dive. `window` lines are summed; a stretch needs a window sum of `surge`."""
-    good = [b for b in found if not b[1]]
-    weight = {}
-    for text, _, root in good:
-        weight[root] = weight.get(root, 0) + len(text)
-    rooted = {r: n for r, n in weight.items() if r}
-    if rooted and max(rooted.values()) >= weight.get(0, 0) * 0.25:
-        best = max(rooted, key=lambda r: (rooted[r], -r))
-        lengths = [len(t) if not noise and root == best else 0 for t, noise, root in found]
-        inside = [not noise and root == best for _, noise, root in found]
-        surge = 1  # the root bounds the text, so any text is a surge
-    else:
-        lengths = [len(t) if not noise else 0 for t, noise, _ in found]
-        inside = [not noise for _, noise, _ in found]
+def _stretches(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """The stretches of lines from a surge of the window's sum to its dive."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
     stretches, begin = [], None
     for i, n in enumerate([*sums, 0]):
@@ -157,18 +161,69 @@ def main_blocks(found: list[tuple[str, bool, int]], window: int = 3, surge: int
         elif begin is not None and n == 0:
             stretches.append((begin, i))
             begin = None
-    if surge > 1 and not stretches and lengths:
-        stretches = [(0, len(lengths))]
-    if surge > 1 and stretches:
-        stretches = [max(stretches, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))]
-    return [found[i][0] for a, b in stretches for i in range(a, b) if inside[i]]
+    return stretches
+
+
+def _totals(values: Iterable[tuple[int, int]], places: Places) -> list[int]:
+    """The sums of (container, value) in each container with those inside it, which all come after it."""
+    totals = [0] * len(places)
+    for place, n in values:
+        totals[place] += n
+    for place in range(len(places) - 1, 0, -1):
+        totals[places[place][0]] += totals[place]
+    return totals
+
+
+def main_blocks(found: list[Block], places: Places, window: int = 3, surge: int = 80) -> list[str]:
+    """The blocks of the article. `window` lines are summed; a stretch needs a window sum of `surge`."""
+    good = [i for i, b in enumerate(found) if not b[1]]
+    weight: dict[int, int] = {}
+    for i in good:
+        weight[found[i][2]] = weight.get(found[i][2], 0) + len(found[i][0])
+    rooted = {r: n for r, n in weight.items() if r}
+    if rooted and max(rooted.values()) >= weight.get(0, 0) * 0.25:
+        best = max(rooted, key=lambda r: (rooted[r], -r))
+        home = places[best][0]
+        kept = {i for i in good if found[i][2] == best}
+        beside = {i for i in good if (places[found[i][2]][0] == home if found[i][2] else found[i][3] == home)} - kept
+        lengths = [len(b[0]) if i in beside else 0 for i, b in enumerate(found)]
+        kept |= {i for a, b in _stretches(lengths, window, surge) for i in range(a, b) if i in beside}
+        return [found[i][0] for i in sorted(kept)]
+
+    lengths = [0 if b[1] else len(b[0]) for b in found]
+    stretches = _stretches(lengths, window, surge)
+    if not stretches:
+        return [found[i][0] for i in good]
+    # a container of one block stands for the block
+    held = _totals(((found[i][3], 1) for i in good), places)
+    stands = [0] * len(places)
+    for p in range(1, len(places)):
+        stands[p] = p if held[p] > 1 else stands[places[p][0]]
+    first, last = max(stretches, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
+    kept = {i for i in range(first, last) if lengths[i]}
+    share = _totals(((stands[found[i][3]], lengths[i]) for i in kept), places)
+    home = max(p for p, n in enumerate(share) if not p or 2 * n > share[0])
+    if home:
+        inside = [False] * len(places)
+        for p in range(1, len(places)):
+            like = places[p] == places[home] and (places[p][2] or places[p][1] == "section")
+            inside[p] = p == home or bool(like) or inside[places[p][0]]
+        kept |= {i for i in good if inside[found[i][3]]}
+    else:
+        kept |= {i for a, b in stretches for i in range(a, b) if lengths[i] and not stands[found[i][3]]}
+    # the heading above, with the short lines under it
+    above = [i for i in good if i < min(kept)][-2 * window :]
+    headed = [i for i in above if found[i][4]]
+    if headed and not found[min(kept)][4]:
+        kept |= {i for i in above if i >= headed[-1]}
+    return [found[i][0] for i in sorted(kept)]
 
 
 def extract(html: str | None, window: int = 3, surge: int = 80) -> str:
     """The main text of a page. Where names of classes mark everything as noise, they are not believed."""
     if not html:
         return ""
-    return "\n".join(main_blocks(blocks(html), window, surge) or main_blocks(blocks(html, by_name=False), window, surge))
+    return "\n".join(main_blocks(*blocks(html), window, surge) or main_blocks(*blocks(html, by_name=False), window, surge))
 
 
 def main_text(pages: DataFrame, *, html: str = "html", window: int = 3, surge: int = 80, carry: list[str] | None = None) -> DataFrame:

@@ -261,6 +261,19 @@ def test_html():
     assert e("<p>1 < 2 &lt;b&gt;</p>") == "1 < 2 <b>"
 
 
+def test_html_noise_inside_the_article():
+    """Without article or main: noise in an article doesn't end it, and its short lines belong to it."""
+    e, ad = html_text.extract, "<div class=ad><p>x</p><p>y</p><p>z</p></div>"
+    a, b, c = ("First words. " * 9).strip(), ("Second words. " * 7).strip(), ("Third words. " * 8).strip()
+    assert e(f"<div class=post><p>{a}</p>{ad}<p>{b}</p></div>") == f"{a}\n{b}"
+    assert e(f"<div class=post><p>{a}</p>{ad}<p>{b}</p>{ad}<p>The end.</p></div><div class=x><p>other</p></div>") == f"{a}\n{b}\nThe end."
+    assert e(f"<div class=post><h1>Title</h1><p>By me</p><p>1 May</p><p>News</p><p>{a}</p></div>") == f"Title\nBy me\n1 May\nNews\n{a}"
+    assert e(f"<body><p>menu</p><h1>Title</h1><p>By me</p><p>1 May</p><p>{a}</p>{ad}<p>{b}</p></body>") == f"Title\nBy me\n1 May\n{a}\n{b}"
+    assert e(f"<h2>Title</h2><div class=post><div>{a}</div>{ad}<div>{b}</div></div>{ad}<div class=x><p>other</p><p>more</p></div>") == f"Title\n{a}\n{b}"
+    assert e(f"<div id=w><section><h2>A</h2><p>{a}</p></section>{ad}<section><h2>B</h2><p>{b}</p></section>{ad}<div><p>o</p><p>p</p></div></div>") == f"A\n{a}\nB\n{b}"
+    assert e(f"<div><article><p>{a}</p></article>{ad}<article><p>{b}</p></article><p>{c}</p><p>{c}</p></div><div><p>o</p><p>p</p></div>") == f"{a}\n{b}\n{c}\n{c}"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "<p>x</p>", 6), (2, "<p>x</p>", 6)], "page_id long, html string, Text int")
     out = html_text.main_text(df)
