@@ -374,6 +374,26 @@ def test_mixing(spark, docs, empty):
     assert {r["copies"] for r in mixing.fair_queue(nothing).collect()} == {0}
 
 
+def test_mixing_cuts_between_rows_of_one_id(spark):
+    """Rows of no id or of one id are taken one by one, in the stage as in the queue, also where texts are equal."""
+    r = random.Random(8)
+    rows = [(None if i % 2 else 5, prose(10 + i % 7, 300 + i), f"s{i % 3}") for i in range(120)]
+    same = [(5, prose(20, 77), f"s{i % 3}") for i in range(90)]
+    few = [(i, prose(r.randrange(5, 30), i), f"s{i % 3}") for i in range(30)]
+    for table in (rows + few, same, same + few, rows + same):
+        df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in table], DOCS).repartition(3)
+        size = {t: len(words(t)) for _, t, _ in table}
+        queue = mixing.fair_queue(df).collect()
+        want, got = Counter(), Counter()
+        for q in queue:
+            want[q["source"], q["doc_id"], q["size"]] += q["copies"]
+        out = mixing.mixed(df)
+        for q in out.collect():
+            got[q["source"], q["doc_id"], size[q["text"]]] += 1
+        assert out.columns == df.columns and got == +want
+        assert sum(n * k[2] for k, n in got.items()) <= 1.5 * sum(len(words(t)) for _, t, _ in table)
+
+
 def test_language_model(spark, docs, empty):
     rows = lm.lm_scores(docs, carry=["doc_id", "text"]).collect()
     other = lm.lm_scores(docs, carry=["doc_id", "text"], broadcast_types=0).collect()
