@@ -6,6 +6,8 @@ the last returns the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,17 @@ def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _judged(docs: DataFrame, uses: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that judge keeps, with the values of docs: columns that it doesn't use have private names meanwhile."""
+    own = {c: c if c.lower() in uses else f"__own{i}" for i, c in enumerate(docs.columns)}
+    kept = judge(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
+    return kept.select(*[F.col(f"`{name}`").alias(c) for c, name in own.items()])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
-    return _same(classify(docs, read_table(spark, sf_dir, "labels")).where("kept"), docs)
+    labels = read_table(spark, sf_dir, "labels")
+    return _judged(docs, ["doc_id", "text", "lang", "source"], lambda d: classify(d, labels).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than the allowed share of benchmark passages."""
-    return _same(decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
+    items = read_table(spark, sf_dir, "benchmark")
+    return _judged(docs, ["text"], lambda d: decontaminate(d, items).where("not contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

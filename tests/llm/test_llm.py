@@ -438,3 +438,17 @@ def test_pipeline_stages(spark):
             ids = now
     assert {i for r in state.collect() for i in r["doc_ids"]} == ids
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_keeps_columns_named_like_results(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40)
+    names = ["kept", "text_score", "Meta_Score", "quality_score", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated", "a.b"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for stage in (corpus_pipeline.quality, corpus_pipeline.decontamination):
+        out = stage(spark, docs, d)
+        rows = out.collect()
+        assert out.dtypes == docs.dtypes and rows
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
