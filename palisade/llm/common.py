@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,21 +41,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="palisade-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+#: The folders of the staged frames that are still referred to.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged frames that nothing will read again."""
+    for df in frames:
+        path = _FOLDERS.pop(df, None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:
@@ -63,6 +81,12 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in lowered]
 
 
+def short_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Texts are long: send them to Python in batches of fewer rows than Spark's default, so that a task stays small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def map_columns(
     df: DataFrame,
     inputs: list[str],
@@ -77,6 +101,7 @@ def map_columns(
     carry pass through untouched; one whose name clashes with a new field is replaced by it. Batches are cut to
     `rows` rows, so that a batch of very long texts stays small.
     """
+    short_batches(df.sparkSession)
     carry = [c for c in carry if c.lower() not in {f.name.lower() for f in fields}]
     packed = df.select(*[F.col(f"`{c}`") for c in carry], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([*[packed.schema[i] for i in range(len(carry))], *fields])

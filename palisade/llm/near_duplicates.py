@@ -1,21 +1,20 @@
 """Near-duplicate classes by a multi-index Hamming join over minwise signatures.
 
-A text is the set of its distinct shingles of `k` words. Equal sets are one node. A node's signature has
-`chunks * width` symbols of 16 bits, each the low bits of a minwise hash. Two signatures that differ in at most
-2 * chunks - 1 symbols have, by the pigeonhole principle, a chunk with at most one error; so each chunk is enumerated
-with each of its symbols left out, and such pairs always share a key. (At the least similarity, 0.75, a pair has no
-common key with probability 0.3672 ** 10, under 1 in 20,000, with ten chunks of five.) Common keys make candidates; a
-second signature of 256 bits, the lowest bit of 256 minwise hashes, has a distance threshold of `max_bits`, which a
-pair at 0.75 passes but for 1 in a million; the set sizes bound the similarity as well. Every link is then confirmed
-on the full sets.
-
-A group of copies never becomes all its pairs. A shingle that no other node of any bucket has can be common to
-no pair, so it bounds every similarity of its node. The node of each bucket with the fewest of these leads it, and
-each other node is compared with its leaders only, which is linear in the nodes; the links give components. Then
-nodes whose own shingles rule out any link are left out, and the buckets that still hold several components compare
-pairs of different components that the bound, the set sizes and the
-distance threshold allow; what is left after that has no link. Components come from repeated contraction; no link, component or
-set reaches the driver.
+A text is the set of its distinct shingles of `k` words. Equal sets, told by 128 bits of digest, are one node. A node's
+signature has `chunks * width` symbols of 16 bits, each the low bits of a minwise hash. Two signatures that differ in
+at most 2 * chunks - 1 symbols have, by the pigeonhole principle, a chunk with at most one error; so each chunk is
+enumerated with each of its symbols left out, and such pairs always share a key. (At the least similarity, 0.75, a pair
+has no common key with probability 0.3672 ** 10, under 1 in 20,000, with ten chunks of five.) Nodes with a common key
+are a bucket; every link is confirmed on the full sets.
+
+A group of copies never becomes all its pairs. The node that shares most of its keys leads its buckets, and each other
+node of a bucket is compared with its leader only, which is linear in the nodes; the links give components. Only nodes of
+buckets that still hold several components are open. Two open nodes of different components can be similar enough only
+if they share one of their rarest shingles: with shingles in one order by rarity among the open nodes, a pair at the
+threshold has a common shingle within the first places of both (prefix bound), late enough to leave room for the
+overlap that both sizes ask for (positional bound). Shingles that one open node has alone come first and match nothing, so
+edited copies of one text, far from each other, make no pairs. What these bounds leave is confirmed; what they exclude
+has no link. Components come from repeated contraction; no link, component or set reaches the driver.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing, not even with another
 such text; a text of fewer than k words has its whole sequence as one shingle. Rows with equal texts are one class,
@@ -33,11 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, staged, without
+from .common import discard, map_columns, staged
 from .shingles import Signer, _mix, set_digest, shingle_sets
 
 _U = np.uint64
-_BITS = 256
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, 3 * i + 1, 1 << 64) for i in range(16)], dtype=_U)
 
 
@@ -53,27 +51,23 @@ def chunk_keys(signature: np.ndarray, chunks: int, width: int) -> np.ndarray:
     return np.array(keys, dtype=_U)
 
 
-def _nodes(values: np.ndarray) -> tuple[int, int]:
+def _halves(values: np.ndarray) -> tuple[int, int]:
     digest = set_digest(values)
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, k: int, chunks: int, width: int) -> DataFrame:
-    """(id, x, n, node, proof, keys, bits) of each row: x is the text's hash, node and proof are halves of the set's digest."""
+    """(id, x, n, a, b, keys) of each row: x is the text's hash, a and b are the halves of the set's digest."""
     long = T.LongType()
-    fields = [T.StructField("n", long), T.StructField("node", long), T.StructField("proof", long), T.StructField("keys", T.ArrayType(long)), T.StructField("bits", T.ArrayType(long))]
+    fields = [T.StructField("n", long), T.StructField("a", long), T.StructField("b", long), T.StructField("keys", T.ArrayType(long))]
 
     def make():
-        signer = Signer(_BITS)
+        signer = Signer(chunks * width)
 
         def run(cols):
             out: list[list] = [[] for _ in fields]
             for s in shingle_sets(cols[0].to_pylist(), k):
-                row = (0, None, None, None, None)
-                if len(s):
-                    signature = signer.sign(s)
-                    bits = np.packbits((signature & _U(1)).astype(np.uint8)).view(np.int64)
-                    row = (len(s), *_nodes(s), chunk_keys(signature, chunks, width).view(np.int64), bits)
+                row = (len(s), *_halves(s), chunk_keys(signer.sign(s), chunks, width).view(np.int64)) if len(s) else (0, None, None, None)
                 for column, value in zip(out, row):
                     column.append(value)
             return out
@@ -84,26 +78,29 @@ def _signed(docs: DataFrame, doc_id: str, text: str, k: int, chunks: int, width:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(node, members) of the rows whose id is in wanted(id)."""
-    ids = staged(wanted.select(F.col("id").alias("__w")).distinct(), "near-ids")
-    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-    fields = [T.StructField("node", T.LongType()), T.StructField("members", T.BinaryType())]
+    """(node, members) of wanted(node, a, b, id, x): the set of the row with that id and text hash."""
+    rows = wanted.select(F.col("id").alias("__w"), F.col("x").alias("__h"))
+    rows = F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+    fields = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("members", T.BinaryType())]
 
     def make():
         def run(cols):
             sets = shingle_sets(cols[0].to_pylist(), k)
-            return [[_nodes(s)[0] if len(s) else None for s in sets], [s.tobytes() for s in sets]]
+            halves = [_halves(s) if len(s) else (None, None) for s in sets]
+            return [[h[0] for h in halves], [h[1] for h in halves], [s.tobytes() for s in sets]]
 
         return run
 
-    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("__w")), "left_semi")
-    return map_columns(some, ["text"], [], fields, make)
+    own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("x"), F.col(text).alias("text"))
+    some = own.join(rows, F.col("id").eqNullSafe(F.col("__w")) & (F.col("x") == F.col("__h")), "left_semi")
+    # a repeated row gives its set again
+    return map_columns(some, ["text"], [], fields, make).dropDuplicates(["a", "b"]).join(wanted.select("node", "a", "b"), ["a", "b"]).select("node", "members")
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of each set no other of these sets has. Of equal nodes one counts."""
+def _listed(sets: DataFrame) -> DataFrame:
+    """(node, s) for each shingle of each set."""
 
-    def listed(batches):
+    def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
@@ -111,9 +108,39 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
                 nodes = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), [len(m) for m in members])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(members) if members else np.zeros(0, np.int64))], names=["node", "s"])
 
-    rows = sets.where("node is not null").mapInArrow(listed, "node long, s long")
-    single = rows.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    return single.groupBy("node").agg(F.count("*").alias("own"))
+    return sets.select("node", "members").mapInArrow(run, "node long, s long")
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, n, place, s): the shingles of open_(node, root, n) that open a prefix and that another one has too.
+
+    place counts from 1 in the order by rarity among these nodes. A prefix ends where what follows is too little for the
+    least overlap that a partner of at least the node's own size asks for.
+    """
+    rows = _listed(sets.join(open_.select("node"), "node", "left_semi"))
+    counted = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("one"))
+    counted = staged(counted, "near-counts")
+    alone = counted.where("df = 1").groupBy(F.col("one").alias("node")).agg(F.count("*").alias("own"))
+    long = F.expr(f"n - ((n * {percent} + 99) div 100) + 1")
+    able = staged(open_.join(alone, "node", "left").na.fill(0, ["own"]).where(F.col("own") < long), "near-able")
+    common = counted.where("df > 1").select("s", "df")
+    shared = _listed(sets.join(able.select("node"), "node", "left_semi")).join(common, "s")
+    order = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))  # one document's shingles
+    ranked = order.join(able, "node").select("node", "root", "n", "own", F.posexplode(F.slice("o", F.lit(1), (long - F.col("own")).cast("int"))).alias("at", "e"))
+    return ranked.select("node", "root", "n", (F.col("own") + F.col("at") + 1).alias("place"), F.col("e.s").alias("s"))
+
+
+def _near_prefixes(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different roots that the prefix and positional bounds allow; u is the smaller set."""
+    of = 100 + percent
+    least = F.expr(f"(({percent} * (n + m)) + {of - 1}) div {of}")  # the overlap that both sizes ask for
+    small = prefixes.where(f"place <= n - ((2 * {percent} * n + {of - 1}) div {of}) + 1").withColumnsRenamed({"node": "u", "root": "ru", "place": "pu", "s": "su"})
+    large = prefixes.withColumnsRenamed({"node": "v", "root": "rv", "n": "m", "place": "pv"})
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("u") < F.col("v")))
+    room = F.least(F.col("n") - F.col("pu"), F.col("m") - F.col("pv")) + 1 >= least
+    sized = 100 * F.col("n") >= percent * F.col("m")
+    met = small.join(large, (F.col("su") == F.col("s")) & (F.col("ru") != F.col("rv")) & ordered & sized & room)
+    return met.select("u", "v").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,84 +179,64 @@ def components(links: DataFrame) -> DataFrame:
         far = far.join(hop, F.col("p") == F.col("b")).select("a", F.col("q").alias("p"))
         far = staged(far, "cc-far")
         if roots is None:
-            roots = far.select(F.col("a").alias("node"), F.col("p").alias("root"))
+            now = far.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
-            roots = roots.join(far, F.col("root") == F.col("a"), "left").select("node", F.coalesce("p", "root").alias("root"))
-        roots = staged(roots, "cc-roots")
+            now = roots.join(far, F.col("root") == F.col("a"), "left").select("node", F.coalesce("p", "root").alias("root"))
+        before, roots = [edges, least, far, *([] if roots is None else [roots])], staged(now, "cc-roots")
         to = far.withColumnsRenamed({"a": "c", "p": "r"})
         edges = edges.join(far, F.col("u") == F.col("a")).join(to, F.col("v") == F.col("c")).select(F.col("p").alias("u"), F.col("r").alias("v")).where("u <> v")
         edges = staged(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-links")
+        discard(*before)
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classified(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, chunks: int, width: int, max_bits: int, broadcast_rows: int) -> DataFrame:
+def _classified(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, chunks: int, width: int, broadcast_rows: int) -> DataFrame:
     """(id, x, n, node, root, component) of each row: root, null for an empty set, is the least node of its component, component the least id."""
     rows = staged(_signed(docs, doc_id, text, k, chunks, width), "near-rows")
-    filled = rows.where("n > 0")
-    classes = filled.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("proof").alias("p"), F.max("proof").alias("q"))
-    classes = staged(classes, "near-classes")
-    if not classes.where("p <> q").isEmpty():
-        raise RuntimeError("two different sets share 64 bits of their digests")
-    signed = staged(filled.select("node", "n", "keys", "bits").dropDuplicates(["node"]), "near-nodes")
-
-    keyed = signed.select(F.col("node"), F.explode("keys").alias("key"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.min(F.struct("id", "x")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "id", F.struct(F.col("at.id").alias("id"), F.col("at.x").alias("x")).alias("at"), "n", "keys"), "near-nodes")
+
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     bucketed = staged(keyed.join(several, "key", "left_semi"), "near-buckets")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return _sets(docs, doc_id, text, k, classes.join(nodes, "node", "left_semi").select("id"), broadcast_rows)
-
-    own = staged(_own_shingles(sets_of(bucketed.select("node").distinct())), "near-own")
-    about = staged(signed.select("node", "n", "bits").join(bucketed.select("node").distinct(), "node", "left_semi").join(own, "node", "left").na.fill(0, ["own"]), "near-about")
-
-    def near(a: str, b: str):
-        bits = sum((F.bit_count(F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))) for i in range(_BITS // 64)), F.lit(0))
-        common = F.least(F.col(f"{a}n") - F.col(f"{a}own"), F.col(f"{b}n") - F.col(f"{b}own"))
-        return (100 * common >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - common)) & (bits <= max_bits)
-
-    def named(frame: DataFrame, a: str) -> DataFrame:
-        return frame.withColumnsRenamed({c: f"{a}{c}" for c in frame.columns})
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        return staged(_confirmed(pairs, sets_of(nodes), percent), "near-links")
-
-    # the leader of a bucket is the node with the fewest shingles of its own: the one that its copies are nearest to
-    ranked = bucketed.join(about.select("node", "own"), "node")
-    lead = ranked.groupBy("key").agg(F.min(F.struct("own", "node")).alias("s")).select("key", F.col("s.node").alias("lead"))
-    star = ranked.join(lead, "key").where("node <> lead").select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct()
-    star = star.join(named(about, "a_"), F.col("u") == F.col("a_node")).join(named(about, "b_"), (F.col("v") == F.col("b_node")) & near("a_", "b_")).select("u", "v")
-    star = staged(star, "near-star")
-    links = confirmed(star)
+    shared = staged(bucketed.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")), "near-shared")
+    wanted = nodes.join(shared.select("node"), "node", "left_semi").select("node", "a", "b", "at.id", "at.x")
+    sets = staged(_sets(docs, doc_id, text, k, wanted, broadcast_rows), "near-sets")
+
+    # the leader of a bucket is the node that shares most of its keys: the one that its copies are nearest to
+    ranked = bucketed.join(shared.select("node", "shared"), "node")
+    lead = ranked.groupBy("key").agg(F.max(F.struct("shared", "node", "n")).alias("s")).select("key", F.col("s.node").alias("lead"), F.col("s.n").alias("m"))
+    led = ranked.join(lead, "key").where(F.col("node") != F.col("lead")).where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    star = staged(led.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct(), "near-star")
+    links = staged(_confirmed(star, sets, percent), "near-links")
     first = components(links)
 
-    # nodes whose own shingles alone keep them from any link are out; the rest meets in buckets of several components
-    able = (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    rooted = bucketed.join(about.where(able), "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = staged(rooted, "near-rooted")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = staged(rooted.join(open_, "key", "left_semi"), "near-rest")
-    met = named(rest, "a_").join(named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & near("a_", "b_"))
-    more = met.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
-    more = staged(more.join(star, ["u", "v"], "left_anti"), "near-more")
+    # open are the nodes of buckets that still hold several components
+    rooted = staged(bucketed.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = staged(rooted.join(mixed, "key", "left_semi").select("node", "root", "n").distinct(), "near-open")
+    prefixes = staged(_prefixes(open_, sets, percent), "near-prefixes")
+    met = _near_prefixes(prefixes, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    more = staged(met.join(star, ["u", "v"], "left_anti"), "near-more")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more))
+        links = staged(links.unionByName(_confirmed(more, sets, percent)), "near-links")
         first = components(links)
 
-    rooted = classes.join(first, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(first, "node", "left").select("node", "a", "b", "id", F.coalesce("root", "node").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named_nodes = staged(rooted.join(least_id, "root").select(F.col("node").alias("__node"), "root", "component"), "near-components")
-    out = rows.select("id", "x", "n", "node").join(named_nodes, F.col("node") == F.col("__node"), "left")
+    named = staged(rooted.join(least_id, "root").select("node", F.col("a").alias("__a"), F.col("b").alias("__b"), "root", "component"), "near-components")
+    discard(nodes, bucketed, shared, sets, star, links, open_, prefixes, more)
+    out = rows.join(named, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left")
     return out.select("id", "x", "n", "node", "root", F.coalesce("component", "id").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, node, component_id and kept."""
-    found = _classified(docs, doc_id, text, k, percent, chunks, width, max_bits, broadcast_rows)
+    found = _classified(docs, doc_id, text, k, percent, chunks, width, broadcast_rows)
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "node", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
 
 
-def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, max_bits: int = 58, broadcast_rows: int = 1_000_000) -> DataFrame:
+def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, chunks: int = 10, width: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row of each component, one of those with its least id, and all rows of empty sets, with the input's columns.
 
     Rows are told apart by id and text hash, since a null or repeated id can stand on several texts. Where several
@@ -237,7 +244,7 @@ def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     are few against the texts: their ids and hashes are taken out by an anti-join, broadcast only if there are at most
     broadcast_rows of them.
     """
-    found = staged(_classified(docs, doc_id, text, k, percent, chunks, width, max_bits, broadcast_rows).where("n > 0").select("id", "x", "root", F.col("component").eqNullSafe(F.col("id")).alias("least")), "near-found")
+    found = staged(_classified(docs, doc_id, text, k, percent, chunks, width, broadcast_rows).where("n > 0").select("id", "x", "root", F.col("component").eqNullSafe(F.col("id")).alias("least")), "near-found")
     several = staged(found.where("least").groupBy("root").agg(F.min("x").alias("stays"), F.count("*").alias("rows")).where("rows > 1").select("root", "stays"), "near-several")
     beaten = found.where("least").join(several, "root").where("x <> stays").select("id", "x")
     gone = staged(found.where("not least").select("id", "x").unionByName(beaten).distinct().select(F.col("id").alias("__id"), F.col("x").alias("__x")), "near-gone")
