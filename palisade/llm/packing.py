@@ -9,6 +9,9 @@ indexed by free room; if none has room, a new sequence opens. Nothing is shuffle
 Each packed row holds `length` ids (the rest is padding), the cumulative segment lengths, position ids that start
 again at 0 in each segment, and for each segment the document and the offset of its first id there.
 
+Ids of any type are carried as they are. A block's name and fill follow the input's partitions: the same texts dealt
+otherwise give other sequences, with the same ids in all.
+
 Defined results: a null or empty text becomes its end mark alone. A null id is carried as null. Repeated rows are
 packed one by one. An empty table gives no sequences. Text that looks like a special token is ordinary text.
 Other columns of the input are ignored.
@@ -24,8 +27,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import short_batches
+
 #: Where the tokenizer's ranks lie on every machine, unless the caller names another place.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern that belongs to these ranks (fixed value of the public vocabulary).
@@ -117,21 +123,22 @@ def best_fit_decreasing(lengths: list[int], length: int) -> list[list[int]]:
     return out
 
 
-SCHEMA = T.StructType(
-    [
-        T.StructField("block", T.StringType()),
-        T.StructField("sequence", T.LongType()),
-        T.StructField("doc_ids", T.ArrayType(T.LongType())),
-        T.StructField("offsets", T.ArrayType(T.LongType())),
-        T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
-        T.StructField("n_tokens", T.IntegerType()),
-        T.StructField("input_ids", T.BinaryType()),
-        T.StructField("position_ids", T.BinaryType()),
-    ]
-)
+def packed_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("block", T.StringType()),
+            T.StructField("sequence", T.LongType()),
+            T.StructField("doc_ids", T.ArrayType(id_type)),
+            T.StructField("offsets", T.ArrayType(T.LongType())),
+            T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
+            T.StructField("n_tokens", T.IntegerType()),
+            T.StructField("input_ids", T.BinaryType()),
+            T.StructField("position_ids", T.BinaryType()),
+        ]
+    )
 
 
-def _packed(block: list[tuple[int | None, np.ndarray]], name: str, length: int) -> Iterator[tuple]:
+def _packed(block: list[tuple[object, np.ndarray]], name: str, length: int) -> Iterator[tuple]:
     pieces = [(key, at, ids[at : at + length]) for key, ids in block for at in range(0, len(ids), length)]
     for number, members in enumerate(best_fit_decreasing([len(p[2]) for p in pieces], length)):
         segments = [pieces[i] for i in members]
@@ -145,7 +152,9 @@ def _packed(block: list[tuple[int | None, np.ndarray]], name: str, length: int)
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 2048, ranks: str = RANKS, block_tokens: int = 8_000_000) -> DataFrame:
     """Packed sequences of `length` ids (little-endian uint16 in input_ids and position_ids)."""
-    schema = SCHEMA
+    rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
+    schema = packed_schema(rows.schema["d"].dataType)
+    short_batches(docs.sparkSession)
     if length > 65535:
         raise ValueError("position ids are uint16")
 
@@ -177,7 +186,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
         if block:
             yield from out(block)
 
-    return docs.select(doc_id, text).selectExpr(f"cast(`{doc_id}` as bigint) d", f"`{text}` t").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
