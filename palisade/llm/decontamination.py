@@ -12,7 +12,8 @@ documents, without any shuffle.
 
 Defined results: a null or empty text has no words, no hits and isn't contaminated. Null or empty items have no
 windows. A null item id is listed as the empty string. Repeated items count once by their id; repeated documents
-are judged one by one. An empty item table hits nothing. Input columns named like a result column are replaced.
+are judged one by one. An empty item table hits nothing. Input columns named like a result column are
+replaced; columns named spans or items are dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 
 from .common import alnum_words_of, map_columns
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("item", T.StringType())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_ITEMS = T.ArrayType(T.StringType())
 
 
 def _windows(words: list[bytes], window: int) -> list[list[bytes]]:
@@ -79,10 +81,14 @@ def _index(block: list[tuple[str, list[bytes]]], counts: dict[bytes, int], windo
 
 
 def find_item_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 2_000_000, carry: list[str] | None = None) -> DataFrame:
-    """Every document with `spans`: array of (start, end, item), the word ranges where a window of an item occurs."""
+    """Every document with `spans`, the word ranges (start, end) where a window of an item occurs, and the ids of those items.
+
+    A range is listed once, and so is an id, however many items share a window and however often it occurs.
+    """
     spark, carry = docs.sparkSession, docs.columns if carry is None else carry
-    out = docs.withColumn("spans", F.lit(None).cast(_SPANS))
-    kept = [*[c for c in carry if c.lower() != "spans"]]
+    kept = [c for c in carry if c.lower() not in ("spans", "items")]
+    need = kept if text in kept else [*kept, text]
+    out = docs.select(*[F.col(f"`{c}`") for c in need], F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast(_ITEMS).alias("items"))
     for block in _item_blocks(items, item_id, item_text, block_words):
         vocabulary = spark.sparkContext.broadcast({w for _, words in block for w in words})
         shared = spark.sparkContext.broadcast(_index(block, _rarity(docs, text, vocabulary), window))
@@ -90,24 +96,30 @@ def find_item_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", it
         def make(shared=shared):
             index = shared.value
 
-            def spans(value, before):
+            def matches(value, before, owners):
                 words = alnum_words_of(value)
-                n, found = len(words), list(before or [])
-                if n:
-                    for i, w in enumerate(words):
-                        if w in index:
-                            for at, win, ids in index[w]:
-                                start = i - at
-                                end = start + len(win)
-                                if start >= 0 and end <= n and words[start:end] == win:
-                                    found += [{"start": start, "end": end, "item": x} for x in ids]
-                return found
-
-            return lambda cols: [[spans(v, b) for v, b in zip(cols[0].to_pylist(), cols[1].to_pylist())]]
-
-        need = kept if text in kept else [*kept, text]
-        out = map_columns(out, [text, "spans"], need, [T.StructField("spans", _SPANS)], make)
-    return out.select(*[F.col(f"`{c}`") for c in kept], *([F.col(f"`{text}`")] if text not in kept else []), "spans")
+                n, found, ids = len(words), {(s["start"], s["end"]) for s in before or []}, set(owners or [])
+                seen = set()
+                for i, w in enumerate(words):
+                    for window_of in index.get(w, ()):
+                        at, win, its = window_of
+                        start = i - at
+                        end = start + len(win)
+                        if start >= 0 and end <= n and words[start:end] == win:
+                            found.add((start, end))
+                            if id(window_of) not in seen:
+                                seen.add(id(window_of))
+                                ids.update(its)
+                return [{"start": a, "end": b} for a, b in sorted(found)], sorted(ids)
+
+            def run(cols):
+                rows = [matches(*row) for row in zip(*(c.to_pylist() for c in cols))]
+                return [[r[0] for r in rows], [r[1] for r in rows]]
+
+            return run
+
+        out = map_columns(out, [text, "spans", "items"], need, [T.StructField("spans", _SPANS), T.StructField("items", _ITEMS)], make)
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, min_share: tuple[int, int] = (1, 20), block_words: int = 2_000_000, carry: list[str] | None = None) -> DataFrame:
@@ -122,18 +134,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     share, of = min_share
 
     def make():
-        def judge(value, spans):
+        def judge(value, spans, items):
             n, hit, end = len(alnum_words_of(value)), 0, 0
-            for start, stop in sorted({(s["start"], s["end"]) for s in spans or []}):
-                hit += max(0, stop - max(start, end))
-                end = max(end, stop)
-            ids = sorted({s["item"] for s in spans or []})
+            for span in spans or []:
+                hit += max(0, span["end"] - max(span["start"], end))
+                end = max(end, span["end"])
+            ids = items or []
             return n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and of * hit >= share * n
 
         def run(cols):
-            rows = [judge(v, s) for v, s in zip(cols[0].to_pylist(), cols[1].to_pylist())]
+            rows = [judge(*row) for row in zip(*(c.to_pylist() for c in cols))]
             return [list(c) for c in zip(*rows)] if rows else [[] for _ in fields]
 
         return run
 
-    return map_columns(found, [text, "spans"], carry, fields, make)
+    return map_columns(found, [text, "spans", "items"], [c for c in carry if c.lower() not in ("spans", "items")], fields, make)
