@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words_of, map_columns
+from .common import alnum_words_of, map_columns, short_batches
 
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("segment_score", T.DoubleType())]))
 
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     each = marked.where("__toxic = 1").select("__text").mapInArrow(toxic_features, "f binary, n long")
     candidates = {bytes(r[0]) for r in each.groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("f").collect()}
     shared = spark.sparkContext.broadcast(candidates)
+    short_batches(spark)
 
     def counts(batches):
         wanted, known = shared.value, {}
@@ -164,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     # the empty name carries the totals
     got = {bytes(r[0]): r[1:] for r in marked.mapInArrow(counts, "f binary, a long, t long, c long").groupBy("f").agg(F.sum("a"), F.sum("t"), F.sum("c")).collect()}
     n_all, n_toxic, n_clean = got.pop(b"", (0, 0, 0))
+    shared.destroy()
     model = ToxicModel(drift=drift)
     for f, (a, t, c) in got.items():
         alpha = prior * a / max(n_all, 1)
@@ -177,29 +179,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def _calibrated(marked: DataFrame, model: ToxicModel) -> ToxicModel:
     """lambda and K from the clean sampled documents, then the logistic fit on all sampled ones."""
-    shared = marked.sparkSession.sparkContext.broadcast(model)
+    context = marked.sparkSession.sparkContext
+    shared = context.broadcast(model)
 
-    def best(batches):
-        scores, bins = shared.value.scorer(), Counter()
+    def chance(batches):
+        """Token scores of clean texts in bins of a quarter, and sums of their best segments and log lengths (in bin null)."""
+        scores, bins, sums = shared.value.scorer(), Counter(), [0, 0.0, 0.0]
         for batch in batches:
-            rows = []
-            for value, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for value in batch.column(0).to_pylist():
                 s = scores(alnum_words_of(value))
-                if kind == 0:
+                if len(s):
                     values, n = np.unique(np.round(s * 4).astype(int), return_counts=True)
                     bins.update(dict(zip(values.tolist(), n.tolist())))
-                rows.append((kind, len(s), [x[2] for x in segments(s)]))
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64()))], names=["kind", "n", "s"])
-        rows = [(int(v), int(n)) for v, n in bins.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([-2 for _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64()), pa.array([[v / 4] for v, _ in rows], pa.list_(pa.float64()))], names=["kind", "n", "s"])
-
-    rows = marked.where("__toxic >= 0").mapInArrow(best, "kind int, n long, s array<double>").collect()
-    bins = Counter()
-    for r in rows:
-        if r[0] == -2:
-            bins[r[2][0]] += r[1]
-    docs = [(r[0], r[1], [(0, 0, x) for x in r[2]]) for r in rows if r[0] >= 0]
+                    sums = [sums[0] + 1, sums[1] + max((x[2] for x in segments(s)), default=0.0), sums[2] + math.log(len(s))]
+        rows = [(int(v), int(n), 0.0, 0.0) for v, n in bins.items()] + [(None, *sums)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["v", "n", "s", "l"])
+
+    found = marked.where("__toxic = 0").select("__text").mapInArrow(chance, "v long, n long, s double, l double").groupBy("v").agg(F.sum("n"), F.sum("s"), F.sum("l")).collect()
+    bins = {v / 4: n for v, n, _, _ in found if v is not None}
+    n_clean, sum_best, sum_logs = next(((n, s, logs) for v, n, s, logs in found if v is None), (0, 0.0, 0.0))
     total = sum(bins.values()) + 1
     # one unseen token of the highest weight, so that the equation always has a root
     top = max(model.weights.values(), default=1.0)
@@ -209,17 +207,33 @@ def _calibrated(marked: DataFrame, model: ToxicModel) -> ToxicModel:
         mid = (low + high) / 2
         low, high = (mid, high) if sum(p * math.exp(min(700.0, mid * v)) for v, p in share) < 1 else (low, mid)
     model.lam = low
-    clean = [(n, max((x[2] for x in s), default=0.0)) for kind, n, s in docs if kind == 0 and n]
-    if clean:
+    if n_clean:
         # the mean of an extreme value is (ln(K n) + Euler's constant) / lambda
-        model.k = min(1.0, max(1e-6, math.exp(float(np.mean([model.lam * s - math.log(n) for n, s in clean])) - 0.5772156649)))
-    y = np.array([kind for kind, _, _ in docs], dtype=float)
+        model.k = min(1.0, max(1e-6, math.exp((model.lam * sum_best - sum_logs) / n_clean - 0.5772156649)))
+    shared.destroy()
+    told = context.broadcast(model)
+
+    def evidence(batches):
+        scores = told.value.scorer()
+        for batch in batches:
+            each = []
+            for value in batch.column(0).to_pylist():
+                s = scores(alnum_words_of(value))
+                each.append(told.value.evidence(len(s), segments(s))[:2])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([e[i] for e in each], pa.float64()) for i in (0, 1))], names=["kind", "best", "total"])
+
+    # three numbers for each row of the bounded sample
+    docs = marked.where("__toxic >= 0").select("__text", "__toxic").mapInArrow(evidence, "kind int, best double, total double").toArrow()
+    told.destroy()
+    y, best, sums = (docs.column(i).to_numpy().astype(float) for i in range(3))
+    order = np.lexsort((sums, best, y))
+    y, best, sums = y[order], best[order], sums[order]
     if not len(y):
         return model
     share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
     model.bias = math.log(share / (1 - share))
     if 0 < y.sum() < len(y):
-        x = np.array([[1.0, *model.evidence(n, s)[:2]] for _, n, s in docs])
+        x = np.column_stack([np.ones(len(y)), best, sums])
         w, ridge = np.array([model.bias, 0.0, 0.0]), np.diag([1e-3, 1e-2, 1e-2])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
