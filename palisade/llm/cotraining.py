@@ -2,22 +2,24 @@
 
 The text view has hashed words, hashed word endings and the share of words that repeat the one before. The metadata
 view has language, source and the page's shape: lengths, lines, shares of capitals, symbols and white space. Each
-view is a logistic regression. In each round each one labels the unlabelled pool, and what it is sure of joins the
-other's training set, in the proportion of the classes. At the end each view is calibrated on labelled rows kept
-aside, and a logistic combination of both calibrated views scores every document.
+view is a logistic regression. In each round both views label all unlabelled documents, in tasks; the `added` ones that
+a view is surest of, at least `sure`, in the proportion of the classes, join the other view's training set. At the end
+each view is calibrated on labelled rows kept aside, and a logistic combination of both calibrated views scores every
+document.
 
-The classifier is fitted on a bounded sample: at most `max_labelled` labelled and `max_pool` unlabelled rows, those
-of least hash (all where there are fewer); only their hashed features reach the driver. All documents are scored
-row by row, with no shuffle.
+The labelled sample is bounded: at most `max_labelled` rows, those of least hash (all where there are fewer). The
+unlabelled pool is whole; of it, only the documents that a round adds reach the driver, as hashed features. All
+documents are scored row by row; only ids, hashes and scores are shuffled.
 
 Defined results: a null or empty text has no words; its metadata still speak. A null source or language is a value
 of its own. With no labels, or labels of one class only, every score is 0.5 and everything is kept. A row without id is
-in no sample. Repeated rows are scored one by one. An empty table gives an empty result. Input columns named like a
-result column are replaced.
+in no sample. Repeated rows are scored one by one; as pseudo-labels, equal texts count once. An empty table gives an
+empty result. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns
+from .common import discard, map_columns, staged
 from .shingles import _mix, word_hashes
 
 _U = np.uint64
 TEXT_SIZE, META_SIZE = 1 << 15, 1 << 10
-_SYMBOLS = frozenset("#*$%&|<>@~^=+_\\{}[]!")
+#: Of each byte of UTF-8: 1 for a capital, 2 for a symbol, 3 for white space.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[65:91] = 1
+_KINDS[list(b"#*$%&|<>@~^=+_\\{}[]!")] = 2
+_KINDS[[9, 10, 11, 12, 13, 32]] = 3
 
 
 def text_features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -55,6 +61,7 @@ def meta_features(text: str | None, lang: str | None, source: str | None) -> lis
     """Feature numbers of the metadata view: each is a name with a value in bins."""
     t = text or ""
     n, lines = len(t), t.count("\n") + 1
+    kinds = np.bincount(_KINDS[np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)], minlength=4)
     share = lambda count: int(20 * count / n) if n else -1
     named = [
         ("lang", lang),
@@ -62,13 +69,11 @@ def meta_features(text: str | None, lang: str | None, source: str | None) -> lis
         ("length", n.bit_length()),
         ("lines", lines.bit_length()),
         ("line", (n // lines).bit_length()),
-        ("upper", share(sum(map(str.isupper, t)))),
-        ("symbols", share(sum(c in _SYMBOLS for c in t))),
-        ("space", share(sum(map(str.isspace, t)))),
+        ("upper", share(int(kinds[1]))),
+        ("symbols", share(int(kinds[2]))),
+        ("space", share(int(kinds[3]))),
         ("chars", len(set(t)).bit_length()),
     ]
-    import zlib
-
     return sorted({zlib.crc32(f"{k}={v}".encode("utf-8", "surrogatepass")) % META_SIZE for k, v in named})
 
 
@@ -163,56 +168,92 @@ def _lists(column) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", max_labelled: int = 10_000, max_pool: int = 10_000, rounds: int = 3, sure: float = 0.95, share: float = 0.1) -> CoModel:
-    """Co-train on the sample. A fifth of the labelled rows is kept aside for calibration."""
+def _gathered(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, lang: str, source: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """Of the documents in chosen(__sid, __y, __x), a bounded number: hashes of ids and of contents, labels, both views' rows.
+
+    One row for each id and content hash; where __x is null, one for the id.
+    """
+    x = F.xxhash64(text, lang, source)
+    met = (F.col(doc_id) == F.col("__sid")) & (F.col("__x").isNull() | (x == F.col("__x")))
+    some = docs.join(F.broadcast(chosen), met).select("__sid", "__x", F.struct(x.alias("x"), "__y", F.col(text).alias("__t"), F.col(lang).alias("__l"), F.col(source).alias("__s")).alias("r"))
+    some = some.groupBy("__sid", "__x").agg(F.min("r").alias("r")).select("__sid", "r.*")
+    table = _featured(some, "__t", "__l", "__s", ["__sid", "__y", "x"]).select(F.xxhash64("__sid").alias("h"), "x", "__y", "__k", "__v", "__m").toArrow().combine_chunks()
+    table = table.take(np.lexsort((table.column("x").to_numpy(), table.column("h").to_numpy())))
+    metas = _lists(table.column("__m"))
+    h, x, y = (table.column(c).to_numpy() for c in ("h", "x", "__y"))
+    return h, x, y, list(zip(_lists(table.column("__k")), _lists(table.column("__v")))), [(m, np.ones(len(m), dtype=np.float32)) for m in metas]
+
+
+def _labelled_by_views(docs: DataFrame, known: DataFrame, weights: list[np.ndarray], doc_id: str, text: str, lang: str, source: str) -> DataFrame:
+    """(x, __sid, p0, p1): both views' probabilities for each different unlabelled text, with the least id that it stands under."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    fields = [T.StructField("p0", T.DoubleType()), T.StructField("p1", T.DoubleType())]
+
+    def make():
+        by_text, by_meta = shared.value
+
+        def run(cols):
+            texts, langs, sources = (c.to_pylist() for c in cols)
+            meta = [np.array(meta_features(*x), dtype=np.int64) for x in zip(texts, langs, sources)]
+            return [_sigmoid(Sparse(text_features(texts), TEXT_SIZE).times(by_text)), _sigmoid(Sparse([(k, np.ones(len(k))) for k in meta], META_SIZE).times(by_meta))]
+
+        return run
+
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__sid"), F.xxhash64(text, lang, source).alias("x"), F.col(text).alias("__t"), F.col(lang).alias("__l"), F.col(source).alias("__s"))
+    judged = map_columns(rows, ["__t", "__l", "__s"], ["__sid", "x"], fields, make).join(known.select(F.col("__id").alias("__sid")), "__sid", "left_anti")
+    found = staged(judged.groupBy("x").agg(F.min("__sid").alias("__sid"), F.min("p0").alias("p0"), F.min("p1").alias("p1")), "pseudo-labels")
+    shared.destroy()
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", max_labelled: int = 10_000, added: int = 500, rounds: int = 2, sure: float = 0.95) -> CoModel:
+    """Co-train. A fifth of the labelled rows is kept aside for calibration."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = known.orderBy(*order).limit(max_labelled)
-    ids = docs.select(F.col(doc_id).alias("__id")).where("__id is not null").distinct()
-    pool = ids.join(known, "__id", "left_anti").orderBy(*order).limit(max_pool).select("__id", F.lit(-1).alias("__y"))
-    sample = F.broadcast(chosen.unionByName(pool).withColumnRenamed("__id", "__sid"))
-    some = docs.join(sample, F.col(doc_id) == F.col("__sid")).select(F.col("__sid"), "__y", F.col(text).alias("__t"), F.col(lang).alias("__l"), F.col(source).alias("__s"))
-    table = _featured(some, "__t", "__l", "__s", ["__sid", "__y"]).select(F.xxhash64("__sid").alias("h"), "__y", "__k", "__v", "__m").toArrow().combine_chunks()
-    table = table.take(np.argsort(table.column("h").to_numpy(), kind="stable"))
-    hashes, y = table.column("h").to_numpy(), table.column("__y").to_numpy()
+    known = staged(known, "known-labels")
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled).select(F.col("__id").alias("__sid"), "__y", F.lit(None).cast("long").alias("__x"))
+    columns = (doc_id, text, lang, source)
+    hashes, _, y, *views = _gathered(docs, chosen, *columns)
+    sizes = [TEXT_SIZE, META_SIZE]
     model = CoModel()
     if not (y == 0).any() or not (y == 1).any():
         return model
-    keys, values, metas = (_lists(table.column(c)) for c in ("__k", "__v", "__m"))
-    text_rows = list(zip(keys, values))
-    meta_rows = [(m, np.ones(len(m), dtype=np.float32)) for m in metas]
-    aside = (y >= 0) & (((hashes >> 7) % 5 == 2))
+    aside = (hashes >> 7) % 5 == 2
     if not (y[aside] == 0).any() or not (y[aside] == 1).any():
-        aside = y >= 0
-    train, pool_at = np.flatnonzero((y >= 0) & ~aside if not aside[y >= 0].all() else y >= 0), np.flatnonzero(y < 0)
-    views = [(text_rows, TEXT_SIZE), (meta_rows, META_SIZE)]
-    given = [{int(i): float(y[i]) for i in train} for _ in views]
+        aside = np.ones(len(y), dtype=bool)
+    train = np.flatnonzero(~aside) if not aside.all() else np.arange(len(y))
+    good = float(y[train].mean())
+    given = [([data[i] for i in train], [float(y[i]) for i in train]) for data in views]
+    taken: list[set] = [set(), set()]
     weights: list[np.ndarray] = []
     for turn in range(rounds + 1):
         weights = []
-        for (data, size), have in zip(views, given):
-            at = np.array(sorted(have))
-            target = np.array([have[i] for i in at])
+        for (rows, targets), size in zip(given, sizes):
+            target = np.array(targets)
             balance = np.where(target > 0, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6))
-            weights.append(logistic(Sparse([data[i] for i in at], size), target, balance))
-        if turn == rounds or not len(pool_at):
+            weights.append(logistic(Sparse(rows, size), target, balance))
+        if turn == rounds:
             break
-        good = float(y[train].mean())
-        for v, (data, size) in enumerate(views):
-            other = given[1 - v]
-            left = np.array([i for i in pool_at if i not in other], dtype=int)
-            if not len(left):
-                continue
-            p = _sigmoid(Sparse([data[i] for i in left], size).times(weights[v]))
-            many = max(1, int(share * len(pool_at)))
-            for kind, sureness, n in ((1.0, p, round(many * good)), (0.0, 1 - p, round(many * (1 - good)))):
-                for j in np.argsort(-sureness, kind="stable")[: max(1, n)]:
-                    if sureness[j] >= sure:
-                        other[int(left[j])] = kind
+        judged = _labelled_by_views(docs, known, weights, *columns)
+        picks: list[tuple[int, float, object]] = []  # (view that learns, label, row)
+        for v in (0, 1):
+            for kind, p, n in ((1.0, F.col(f"p{v}"), round(added * good)), (0.0, 1 - F.col(f"p{v}"), round(added * (1 - good)))):
+                # what the other view has been given already may stand first
+                first = judged.where(p >= sure).orderBy(p.desc(), F.xxhash64("x"), "x").limit(max(1, n) + len(taken[1 - v])).collect()
+                new = [r for r in first if r["x"] not in taken[1 - v]][: max(1, n)]
+                taken[1 - v].update(r["x"] for r in new)
+                picks += [(1 - v, kind, r) for r in new]
+        if picks:
+            wanted = T.StructType([T.StructField("__sid", judged.schema["__sid"].dataType), T.StructField("__y", T.IntegerType()), T.StructField("__x", T.LongType())])
+            rows = docs.sparkSession.createDataFrame([(sid, -1, x) for sid, x in sorted({(r["__sid"], r["x"]) for *_, r in picks})], wanted)
+            _, contents, _, *more = _gathered(docs, rows, *columns)
+            at = {int(x): i for i, x in enumerate(contents)}
+            for v, kind, r in picks:
+                given[v][0].append(more[v][at[r["x"]]])
+                given[v][1].append(kind)
+        discard(judged)
     model.text, model.meta = weights
     at = np.flatnonzero(aside)
-    a = Sparse([text_rows[i] for i in at], TEXT_SIZE).times(model.text)
-    b = Sparse([meta_rows[i] for i in at], META_SIZE).times(model.meta)
+    a, b = (Sparse([data[i] for i in at], size).times(w) for data, size, w in zip(views, sizes, weights))
     model.text_scale, model.meta_scale = tuple(_platt(a[:, None], y[at])), tuple(_platt(b[:, None], y[at]))
     calibrated = np.column_stack([s[0] + s[1] * x for s, x in ((model.text_scale, a), (model.meta_scale, b))])
     model.both = tuple(_platt(calibrated, y[at]))
