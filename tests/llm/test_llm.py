@@ -138,6 +138,14 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.decontaminate(empty, table).count() == 0
 
 
+def test_decontamination_many_items_of_one_text(spark):
+    """Items of one word cost their number plus the word's occurrences, not the product."""
+    items = spark.createDataFrame([(i, "the") for i in range(2000)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "the " * 20_000), (2, "other words")], "doc_id long, text string").withColumn("Spans", F.lit(1)).withColumn("items", F.lit(2))
+    found = {r["doc_id"]: r for r in decontamination.decontaminate(df, items).collect()}
+    assert (found[1]["n_hit"], found[1]["n_items"], found[1]["contaminated"]) == (20_000, 2000, True) and not found[2]["contaminated"]
+
+
 def test_segments_brute_force():
     r = random.Random(1)
     for _ in range(60):
@@ -324,6 +332,12 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_text_ids(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three"), ("a", "one two")], "doc_id string, text string")
+    rows = packing.pack(df, length=64).collect()
+    assert sorted(str(i) for r in rows for i in r["doc_ids"]) == ["None", "a", "a"]
+
+
 def test_cotraining(spark, docs, empty):
     rows = [(i, prose(60, i) if i % 5 else " ".join(w + "###" for w in prose(60, i).split()), "en", "s1" if i % 5 else "s2", 1) for i in range(300)]
     df = spark.createDataFrame(rows + [(900, None, None, None, None), (901, "", "en", "s1", 0)], DOCS).withColumn("KEPT", F.lit(1))
@@ -334,6 +348,10 @@ def test_cotraining(spark, docs, empty):
     again = {r["doc_id"]: r["quality_score"] for r in cotraining.classify(df, lab).collect()}
     assert again == {k: r["quality_score"] for k, r in out.items()}
     assert {r["quality_score"] for r in cotraining.classify(docs, lab.limit(0)).collect()} == {0.5}
+    # repeated rows, an id on several texts, and very long texts change nothing for the others
+    more = df.unionByName(df.where("doc_id between 200 and 220")).unionByName(spark.createDataFrame([(7, prose(200_000, 1), "en", "s1", 1), (299, "x", "en", "s1", 1)], DOCS).withColumn("KEPT", F.lit(1)))
+    rows = cotraining.classify(more, lab).collect()
+    assert len(rows) == 302 + 21 + 2 and np.mean([r["kept"] == bool(r["doc_id"] % 5) for r in rows if 150 <= r["doc_id"] < 299]) > 0.97
     assert cotraining.classify(empty, lab).count() == 0
 
 
