@@ -80,46 +80,73 @@ def _index(block: list[tuple[str, list[bytes]]], counts: dict[bytes, int], windo
     return dict(index)
 
 
-def find_item_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 2_000_000, carry: list[str] | None = None) -> DataFrame:
-    """Every document with `spans`, the word ranges (start, end) where a window of an item occurs, and the ids of those items.
-
-    A range is listed once, and so is an id, however many items share a window and however often it occurs.
+def _matcher(index: dict, with_spans: bool):
+    """A function from a text, its spans and items so far, to those with this index's."""
+
+    def matches(value, before, owners):
+        words = alnum_words_of(value)
+        n, found, ids = len(words), {(s["start"], s["end"]) for s in before or []}, set(owners or [])
+        seen = set()
+        for i, w in enumerate(words):
+            for window_of in index.get(w, ()):
+                at, win, its = window_of
+                start = i - at
+                end = start + len(win)
+                if start >= 0 and end <= n and words[start:end] == win:
+                    found.add((start, end))
+                    if id(window_of) not in seen:
+                        seen.add(id(window_of))
+                        ids.update(its)
+        spans = sorted(found)
+        return n, [{"start": a, "end": b} for a, b in spans] if with_spans else spans, sorted(ids)
+
+    return matches
+
+
+def _found(docs: DataFrame, items: DataFrame, *, text: str, item_id: str, item_text: str, window: int, block_words: int, carry: list[str], last: list[T.StructField], make_last) -> DataFrame:
+    """The rows of docs after one pass for each block of items. The last pass appends the columns `last` instead of spans and items.
+
+    make_last() returns the function from (n words, spans, items) to those columns. Each pass is one map, so that a
+    task keeps one Python worker for each block.
     """
-    spark, carry = docs.sparkSession, docs.columns if carry is None else carry
+    spark = docs.sparkSession
     kept = [c for c in carry if c.lower() not in ("spans", "items")]
     need = kept if text in kept else [*kept, text]
     out = docs.select(*[F.col(f"`{c}`") for c in need], F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast(_ITEMS).alias("items"))
-    for block in _item_blocks(items, item_id, item_text, block_words):
+    blocks = iter(_item_blocks(items, item_id, item_text, block_words))
+    block = next(blocks, [])
+    while True:
+        coming = next(blocks, None)
         vocabulary = spark.sparkContext.broadcast({w for _, words in block for w in words})
-        shared = spark.sparkContext.broadcast(_index(block, _rarity(docs, text, vocabulary), window))
-
-        def make(shared=shared):
-            index = shared.value
-
-            def matches(value, before, owners):
-                words = alnum_words_of(value)
-                n, found, ids = len(words), {(s["start"], s["end"]) for s in before or []}, set(owners or [])
-                seen = set()
-                for i, w in enumerate(words):
-                    for window_of in index.get(w, ()):
-                        at, win, its = window_of
-                        start = i - at
-                        end = start + len(win)
-                        if start >= 0 and end <= n and words[start:end] == win:
-                            found.add((start, end))
-                            if id(window_of) not in seen:
-                                seen.add(id(window_of))
-                                ids.update(its)
-                return [{"start": a, "end": b} for a, b in sorted(found)], sorted(ids)
+        shared = spark.sparkContext.broadcast(_index(block, _rarity(docs, text, vocabulary) if block else {}, window))
+        vocabulary.destroy()
+
+        def make(shared=shared, final=coming is None):
+            matches, judge = _matcher(shared.value, not final), make_last()
 
             def run(cols):
                 rows = [matches(*row) for row in zip(*(c.to_pylist() for c in cols))]
-                return [[r[0] for r in rows], [r[1] for r in rows]]
+                if final:
+                    judged = [judge(*r) for r in rows]
+                    return [list(c) for c in zip(*judged)] if judged else [[] for _ in last]
+                return [[r[1] for r in rows], [r[2] for r in rows]]
 
             return run
 
+        if coming is None:
+            return map_columns(out, [text, "spans", "items"], kept, last, make)
         out = map_columns(out, [text, "spans", "items"], need, [T.StructField("spans", _SPANS), T.StructField("items", _ITEMS)], make)
-    return out
+        block = coming
+
+
+def find_item_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 2_000_000, carry: list[str] | None = None) -> DataFrame:
+    """Every document with `spans`, the word ranges (start, end) where a window of an item occurs, and the ids of those items.
+
+    A range is listed once, and so is an id, however many items share a window and however often it occurs.
+    """
+    listed = lambda n, spans, ids: ([{"start": a, "end": b} for a, b in spans], ids)
+    last = [T.StructField("spans", _SPANS), T.StructField("items", _ITEMS)]
+    return _found(docs, items, text=text, item_id=item_id, item_text=item_text, window=window, block_words=block_words, carry=docs.columns if carry is None else carry, last=last, make_last=lambda: listed)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, min_share: tuple[int, int] = (1, 20), block_words: int = 2_000_000, carry: list[str] | None = None) -> DataFrame:
@@ -129,23 +156,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     n_hit / n_words reaches min_share.
     """
     carry = docs.columns if carry is None else carry
-    found = find_item_spans(docs, items, text=text, item_id=item_id, item_text=item_text, window=window, block_words=block_words, carry=carry)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     share, of = min_share
 
-    def make():
-        def judge(value, spans, items):
-            n, hit, end = len(alnum_words_of(value)), 0, 0
-            for span in spans or []:
-                hit += max(0, span["end"] - max(span["start"], end))
-                end = max(end, span["end"])
-            ids = items or []
-            return n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and of * hit >= share * n
-
-        def run(cols):
-            rows = [judge(*row) for row in zip(*(c.to_pylist() for c in cols))]
-            return [list(c) for c in zip(*rows)] if rows else [[] for _ in fields]
-
-        return run
+    def judge(n, spans, ids):
+        hit, end = 0, 0
+        for start, stop in spans:
+            hit += max(0, stop - max(start, end))
+            end = max(end, stop)
+        return n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and of * hit >= share * n
 
-    return map_columns(found, [text, "spans", "items"], [c for c in carry if c.lower() not in ("spans", "items")], fields, make)
+    return _found(docs, items, text=text, item_id=item_id, item_text=item_text, window=window, block_words=block_words, carry=carry, last=fields, make_last=lambda: judge)
