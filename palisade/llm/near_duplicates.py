@@ -24,8 +24,6 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,14 +39,9 @@ _STEPS = np.array([pow(0x9E3779B97F4A7C15, 3 * i + 1, 1 << 64) for i in range(16
 
 def chunk_keys(signature: np.ndarray, chunks: int, width: int) -> np.ndarray:
     """The keys of a signature: each chunk with each one of its symbols left out."""
-    keys = []
-    with np.errstate(over="ignore"):
-        for c in range(chunks):
-            part = signature[c * width : (c + 1) * width] + _U(1)
-            for left_out, kept in enumerate(combinations(range(width), width - 1)):
-                mark = _U(c * width + left_out + 1)
-                keys.append(_mix(np.sum(part[list(kept)] * _STEPS[list(kept)], keepdims=True) + mark * _STEPS[15])[0])
-    return np.array(keys, dtype=_U)
+    terms = (signature.reshape(chunks, width) + _U(1)) * _STEPS[:width]
+    marks = np.arange(1, chunks * width + 1, dtype=_U).reshape(chunks, width) * _STEPS[15]
+    return _mix(terms.sum(axis=1, keepdims=True) - terms + marks).ravel()
 
 
 def _halves(values: np.ndarray) -> tuple[int, int]:

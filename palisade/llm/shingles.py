@@ -24,6 +24,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
 _PLACES = np.array([pow(int(_BASE), 7 * (i + 1), 1 << 64) | 1 for i in range(16)], dtype=_U)
 
 
@@ -44,14 +45,14 @@ def word_hashes(texts: list[str | None], tails: bool = False) -> tuple[np.ndarra
     lengths = ends - starts
     h = np.zeros(len(starts), dtype=_U)
     if len(starts):
-        step = 1 << 20  # powers are taken in stretches, so that their tables stay small
-        up, down = _powers(_BASE, step), _powers(_INVERSE, step)
+        step = len(_UP)  # powers are taken in stretches, so that their tables stay small
+        up, down = _UP, _DOWN
         first = 0
         while first < len(starts):
             begin = starts[first]
             last = max(int(np.searchsorted(ends, begin + step, side="right")), first + 1)
             stop = ends[last - 1]
-            if stop - begin > step:
+            if stop - begin > len(up):
                 up, down = _powers(_BASE, int(stop - begin)), _powers(_INVERSE, int(stop - begin))
             sums = np.concatenate([[_U(0)], np.cumsum((raw[begin:stop].astype(_U) + _U(1)) * up[: stop - begin])])
             s, e = starts[first:last] - begin, ends[first:last] - begin
