@@ -1,20 +1,23 @@
 """Language-model scores of texts by a hashed maximum-entropy model.
 
-P(token | history) = P(class | history) * P(token | class). A token's class comes from its spelling (the hash of its
-last two bytes), so unseen tokens have one too; the end of a text is a class of its own. The class softmax is a
-maximum-entropy model whose logits sum one weight row for each active feature: a constant, the hashed token before,
-the class of the token before that (a skip), and the hashed pair of both. Inside a class the model is
-the maximum-entropy solution for constant features, the smoothed share (count + 1) / (class count + class types + 1),
-where the one extra type stands for what training didn't see. All outcomes of a position have a total of 1.
-
-Training reads all training tokens once. Its sums by (history, class), which the gradient needs and which grow with
-the corpus, are added up in tasks and then by key; there are at most WORDS * CLASSES histories. Gradient epochs run over
-those sums, spread over tasks: each task gets the weights, returns its part of the gradient, and the driver takes a
-step for each weight. The weight matrix has a fixed size. The normalising sums of all histories go to the tasks with
-the weights, so scoring gathers and adds a few sparse weights for each token of a batch in numpy.
-
-Counts of all training tokens are exact, by the upper 56 bits of a hash and the class. A vocabulary of up to `broadcast_types` types goes to the
-tasks as two sorted arrays; a larger one is joined by shuffle with each text's distinct tokens.
+A token is reached on a path of classes: 256 classes by spelling (the hash of its last two bytes), each with 256 slots by
+hash, both taken in two steps of 16. P(token | history) is the product of a softmax over 16 for each step, given the
+history and the steps before, and of the token's smoothed share in its slot. So the softmax is factored by class, unseen
+tokens have a path too, and all outcomes of a position have a total of 1. The end of a text is a token of class 0.
+
+The logits of a step sum one weight row of 16 for each active feature: a constant, the token before, the two tokens
+before (n-grams), and the classes of the tokens one, two and three places before (skips). Features are hashed together
+with the path into `ROWS` rows.
+
+Training reads every training token once, in `rounds` parts of the documents. In a part, each task starts from the
+common weights and makes gradient updates over its tokens in batches, with a step for each row by its past gradients.
+The changes are averaged for each row, by how often each task met it; they are added up on executors in
+pieces, so the driver gets the fixed-size table once a round. Scoring gathers and adds the sparse rows of a batch in numpy.
+
+In a slot, the maximum-entropy solution for constant features is the smoothed share (count + 1) / (slot count + slot types
++ 1), where the one extra type stands for what training didn't see. Counts of all training tokens are exact, by the upper
+56 bits of a hash and the class, and grow with the corpus. A vocabulary of up to `broadcast_types` types goes to the tasks
+as two sorted arrays; a larger one is joined by shuffle with each text's distinct tokens.
 
 Defined results: a null or empty text has one token, the end. A null id counts as the empty text for the fold. Without
 training documents every token is unseen. Repeated rows are scored one by one. An empty table gives an empty result.
@@ -31,19 +34,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, staged
+from .common import map_columns, short_batches, staged
 from .shingles import _mix, word_hashes
 from .toxicity import fold
 
-CLASSES, WORDS, PAIRS = 256, 512, 2048
-ROWS = 1 + WORDS + CLASSES + PAIRS
+CLASSES = SLOTS = 256
+LEAVES = CLASSES * SLOTS
+WIDTH, STEPS, KINDS = 16, 4, 6
+BITS = 17
+ROWS = 1 << BITS
 _U = np.uint64
 _END = np.int64(0x5DEECE66D1234567)
+_ODD = _U(0xD6E8FEB86659FD93)
 _FIELDS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+#: A hash of each place on a path: the root, 16 half classes, 256 classes, 4,096 half slots.
+_PATHS = _mix(np.arange(1, 2 + WIDTH + CLASSES + CLASSES * WIDTH, dtype=_U) * _ODD)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, class and history of all tokens of all texts (each text's words and then its end), and offsets by text."""
+    """Key, class and hashed features of all tokens of all texts (each text's words and then its end), and offsets by text.
+
+    A key is a token's hash with its class in the low byte; features have a row for each kind.
+    """
     words, offsets, tails = word_hashes(texts, tails=True)
     at = offsets + np.arange(len(offsets))
     h, cls = np.full(int(at[-1]), _END, dtype=np.int64), np.zeros(int(at[-1]), dtype=np.int64)
@@ -51,49 +63,104 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     inside[at[1:] - 1] = False
     h[inside] = words.view(np.int64)
     cls[inside] = 1 + (_mix(tails.astype(_U)) % _U(CLASSES - 1)).astype(np.int64)
-    # before the first token stands an end
-    bucket = (_mix(h.view(_U)) % _U(WORDS)).astype(np.int64)
-    one, two = np.empty_like(bucket), np.empty_like(cls)
-    one[1:], one[0] = bucket[:-1], 0
-    two[2:], two[:2] = cls[:-2], 0
-    start = at[:-1][at[:-1] < len(h)]
-    one[start] = int(_mix(np.array([_END]).view(_U))[0] % _U(WORDS))
-    two[start] = 0
-    two[np.minimum(start + 1, len(h) - 1)] = 0
-    return h, cls, one * CLASSES + two, at
+    keys = (h & ~np.int64(255)) | cls
+    place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
 
+    def before(values: np.ndarray, n: int, first) -> np.ndarray:
+        """What stands n places before; an end stands before the first token."""
+        out = np.full_like(values, first)
+        out[n:] = values[: len(values) - n]
+        out[place < n] = first
+        return out
 
-def feature_rows(history: np.ndarray) -> np.ndarray:
-    """The active weight rows of each history, one column for each kind of feature."""
-    one, two = history // CLASSES, history % CLASSES
-    pair = (_mix(history.astype(_U)) % _U(PAIRS)).astype(np.int64)
-    return np.stack([np.zeros_like(one), 1 + one, 1 + WORDS + two, 1 + WORDS + CLASSES + pair], axis=1)
+    end = (_END & ~np.int64(255)).view(np.int64)
+    one, two = before(keys, 1, end).view(_U), before(keys, 2, end).view(_U)
+    kinds = [np.zeros(len(h), dtype=_U), one, one * _ODD + two, *(before(cls, n, 0).astype(_U) for n in (1, 2, 3))]
+    return keys, cls, np.stack([_mix(k + _U(i << 60)) for i, k in enumerate(kinds)]), at
 
 
-def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[rows[:, 3]]
+def path(keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each step, the places on the paths of keys before it and the outcomes taken."""
+    cls, slot = keys & np.int64(CLASSES - 1), (keys >> 8) & np.int64(SLOTS - 1)
+    places = [np.zeros_like(cls), 1 + (cls >> 4), 1 + WIDTH + cls, 1 + WIDTH + CLASSES + cls * WIDTH + (slot >> 4)]
+    return places, [cls >> 4, cls & 15, slot >> 4, slot & 15]
+
+
+def leaf(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.int64(CLASSES - 1)) * SLOTS + ((keys >> 8) & np.int64(SLOTS - 1))
+
 
+def feature_rows(features: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The active weight rows at these places, one row for each kind of feature."""
+    return (((features ^ _PATHS[places]) * _ODD) >> _U(64 - BITS)).view(np.int64)
 
-def log_sums(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    return top + np.log(np.exp(x - top).sum(axis=1, keepdims=True))
+
+def log_shares(x: np.ndarray) -> np.ndarray:
+    """The logarithms of the softmax of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.take(weights, rows[0], axis=0, mode="clip")
+    for kind in rows[1:]:
+        out += np.take(weights, kind, axis=0, mode="clip")
+    return out
+
+
+def path_logs(weights: np.ndarray, keys: np.ndarray, features: np.ndarray, stretch: int = 8192) -> np.ndarray:
+    """The natural logarithm of the probability of each key's slot."""
+    out = np.zeros(len(keys))
+    for a in range(0, len(keys), stretch):
+        part = slice(a, a + stretch)
+        for places, taken in zip(*path(keys[part])):
+            x = log_shares(logits(weights, feature_rows(features[:, part], places)))
+            out[part] += x[np.arange(len(taken)), taken]
+    return out
+
+
+class Learner:
+    """Gradient updates from common weights, with a step for each row by its past gradients."""
+
+    def __init__(self, weights: np.ndarray, rate: float):
+        self.weights, self.rate = weights.copy(), np.float32(rate)
+        self.past, self.met = np.full(len(weights), 1e-3, dtype=np.float32), np.zeros(len(weights), dtype=np.float32)
+
+    def update(self, keys: np.ndarray, features: np.ndarray) -> None:
+        for places, taken in zip(*path(keys)):
+            rows = feature_rows(features, places)
+            gap = np.exp(log_shares(logits(self.weights, rows)))
+            gap[np.arange(len(taken)), taken] -= 1
+            # sorted by row, with the token's number in the low bits
+            order = np.sort(((rows << 20) | np.arange(len(taken))).ravel())
+            at = order >> 20
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            some, n = at[first], np.diff(first, append=len(at)).astype(np.float32)
+            # a row's mean gradient over the batch, times the square root of how often it stands there
+            slope = np.add.reduceat(np.take(gap, order & 0xFFFFF, axis=0, mode="clip"), first)
+            slope /= np.sqrt(n)[:, None]
+            past = self.past[some] + np.einsum("ij,ij->i", slope, slope)
+            self.past[some] = past
+            slope *= (self.rate / np.sqrt(past))[:, None]
+            self.weights[some] -= slope
+            self.met[some] += n
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # ROWS x CLASSES
-    normal: np.ndarray  # the log of the normalising sum of each history
-    class_tokens: np.ndarray
-    class_types: np.ndarray
+    weights: np.ndarray  # ROWS x WIDTH
+    leaf_tokens: np.ndarray
+    leaf_types: np.ndarray
     counts: DataFrame  # h, n
 
     @property
     def total(self) -> int:
-        return int(self.class_tokens.sum())
+        return int(self.leaf_tokens.sum())
 
     @property
     def types(self) -> int:
-        return int(self.class_types.sum())
+        return int(self.leaf_types.sum())
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,98 +168,89 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return values, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
 
-def _sums(train: DataFrame, text: str) -> DataFrame:
-    """Sums of all training tokens: kind 0, by token hash (with its class); kind 1, by history and class."""
+def _counts(train: DataFrame, text: str) -> DataFrame:
+    """(h, n): how often each token's key stands in the training texts; added up in tasks and then by key."""
+    short_batches(train.sparkSession)
 
     def run(batches):
-        held: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
-        classes: dict[str, np.ndarray] = {}
+        held: list[list[np.ndarray]] = [[], []]
 
-        def out(kind):
-            if held[kind][0]:
-                keys, n = _summed(*held[kind])
-                held[kind][0], held[kind][1] = [], []
-                for at in range(0, len(keys), 100_000):
-                    part = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, dtype=np.int32)), pa.array(keys[part]), pa.array(n[part])], names=["kind", "key", "n"])
+        def out(keys, n):
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["h", "n"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                h, cls, history, _ = tokens(whole.slice(at, 512).column(0).to_pylist())
-                # the token's class goes in the low byte of its key in place of the hash's
-                for kind, key in ((0, (h & ~np.int64(255)) | cls), (1, history * CLASSES + cls)):
-                    values, n = np.unique(key, return_counts=True)
-                    held[kind][0].append(values)
-                    held[kind][1].append(n)
-                    if sum(map(len, held[kind][0])) > 2_000_000:
-                        keys, n = _summed(*held[kind])
-                        held[kind][0], held[kind][1] = [keys], [n]
-                        if len(keys) > 1_500_000:
-                            yield from out(kind)
-        yield from out(0)
-        yield from out(1)
-
-    return train.select(text).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def fit(train: DataFrame, *, text: str = "text", epochs: int = 8, rate: float = 0.3, ridge: float = 2.0, tasks: int = 12) -> Model:
-    """Train on every row."""
-    sums = staged(_sums(train, text), "lm-sums")
-    counts = sums.where("kind = 0").select(F.col("key").alias("h"), "n")
-    by_class = counts.groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()
-    class_tokens, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for c, n, t in by_class:
-        class_tokens[c], class_types[c] = n, t
-    cells = sums.where("kind = 1").select(F.shiftright("key", CLASSES.bit_length() - 1).alias("history"), F.col("key").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("c"), "n")
-    cells = cells.groupBy("history").agg(F.collect_list("c").alias("c"), F.collect_list("n").alias("n"))
-    cells = staged(cells.repartition(tasks), "lm-histories")
-    start = np.log((class_tokens + 1) / (class_tokens + 1).sum())
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
-    weights[0] = start
-    seen = None
-    for _ in range(epochs):
-        first, expected = _expectations(cells, weights, seen is None)
-        seen = first if seen is None else seen
-        # the gradient of the penalised log-likelihood, with a step for each weight from its expected count
-        weights = weights + (rate * (seen - expected) / (expected + ridge)).astype(np.float32)
-    every = np.arange(WORDS * CLASSES)
-    normal = np.concatenate([log_sums(logits(weights, feature_rows(part)))[:, 0] for part in np.array_split(every, 128)])
-    return Model(weights, normal, class_tokens, class_types, counts)
-
-
-def _expectations(cells: DataFrame, weights: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Seen (if both) and expected sums of each weight's feature, added up over the tasks."""
-    shared = cells.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches):
-        w = shared.value
-        seen, expected, some = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES)), False
+                values, n = np.unique(tokens(whole.slice(at, 512).column(0).to_pylist())[0], return_counts=True)
+                held[0].append(values)
+                held[1].append(n)
+                if sum(map(len, held[0])) > 2_000_000:
+                    keys, n = _summed(*held)
+                    if len(keys) > 1_500_000:
+                        yield from out(keys, n)
+                        held = [[], []]
+                    else:
+                        held = [[keys], [n]]
+        if held[0]:
+            yield from out(*_summed(*held))
+
+    return train.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _round(train: DataFrame, text: str, weights: np.ndarray, rate: float, batch_tokens: int, pieces: int = 64) -> np.ndarray:
+    """The weights after gradient updates over train, averaged over the tasks."""
+    shared = train.sparkSession.sparkContext.broadcast(weights)
+    size = ROWS // pieces
+
+    def learn(batches):
+        start, learner = shared.value, None
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch, some = whole.slice(at, 1024), True
-                history, lists = batch.column(0).to_numpy(), batch.column(1)
-                lengths = np.diff(lists.offsets.to_numpy())
-                where = np.repeat(np.arange(len(history)), lengths)
-                n = np.zeros((len(history), CLASSES))
-                np.add.at(n, (where, lists.flatten().to_numpy()), batch.column(2).flatten().to_numpy())
-                rows = feature_rows(history)
-                x = logits(w, rows)
-                p = np.exp(x - log_sums(x)) * n.sum(axis=1, keepdims=True)
-                for kind in range(rows.shape[1]):
-                    order = np.argsort(rows[:, kind], kind="stable")
-                    keys, first = np.unique(rows[order, kind], return_index=True)
-                    if both:
-                        seen[keys] += np.add.reduceat(n[order], first)
-                    expected[keys] += np.add.reduceat(p[order], first)
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes() if both else b""]), pa.array([expected.astype(np.float32).tobytes()])], names=["s", "e"])
-
-    total = [np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))]
-    for row in cells.mapInArrow(run, "s binary, e binary").collect():  # a row for each of the fixed number of tasks
-        for t, blob in zip(total, row):
-            if blob:
-                t += np.frombuffer(blob, dtype=np.float32).reshape(ROWS, CLASSES)
-    return total[0], total[1]
+            for at in range(0, whole.num_rows, 256):
+                learner = learner or Learner(start, rate)
+                keys, _, features, _ = tokens(whole.slice(at, 256).column(0).to_pylist())
+                for a in range(0, len(keys), batch_tokens):
+                    learner.update(keys[a : a + batch_tokens], features[:, a : a + batch_tokens])
+        if learner:
+            change = ((learner.weights - start) * learner.met[:, None]).astype(np.float32)
+            for piece in range(pieces):
+                rows = slice(piece * size, (piece + 1) * size)
+                blob = np.column_stack([learner.met[rows], change[rows]]).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([blob], pa.binary())], names=["piece", "blob"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(blob.as_buffer(), dtype=np.float32).astype(np.float64)
+                sums[piece] = sums[piece] + part if piece in sums else part
+        for piece, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["piece", "blob"])
+
+    schema = "piece int, blob binary"
+    told = train.select(text).mapInArrow(learn, schema).repartition(pieces // 4, "piece").mapInArrow(add, schema)
+    out = weights.copy()
+    for piece, blob in told.collect():  # `pieces` rows, a table of fixed size in all
+        part = np.frombuffer(blob, dtype=np.float32).reshape(size, 1 + WIDTH)
+        out[piece * size : (piece + 1) * size] += part[:, 1:] / np.maximum(part[:, :1], 1)
+    shared.destroy()
+    return out
+
+
+def fit(train: DataFrame, *, text: str = "text", rounds: int = 2, rate: float = 0.4, batch_tokens: int = 16384) -> Model:
+    """Train on every row."""
+    counts = staged(_counts(train, text), "lm-counts")
+    by_leaf = counts.groupBy((F.col("h").bitwiseAND(F.lit(CLASSES - 1)) * SLOTS + F.shiftright("h", 8).bitwiseAND(F.lit(SLOTS - 1))).alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).toArrow()
+    leaf_tokens, leaf_types = np.zeros(LEAVES), np.zeros(LEAVES)
+    at = by_leaf.column("leaf").to_numpy()
+    leaf_tokens[at], leaf_types[at] = by_leaf.column("n").to_numpy(), by_leaf.column("t").to_numpy()
+    weights = np.zeros((ROWS, WIDTH), dtype=np.float32)
+    # a task of several small partitions sends its table once; the rows stay where they are
+    parts, cores = train.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism
+    few = train.coalesce(max(min(parts, 2 * cores), parts // 8))
+    for number in range(rounds):
+        part = few.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(rounds)) == number)
+        weights = _round(part, text, weights, rate, batch_tokens)
+    return Model(weights, leaf_tokens, leaf_types, counts)
 
 
 def _counted_here(docs: DataFrame, model: Model, text: str) -> tuple:
@@ -217,8 +275,7 @@ def _counted_by_shuffle(docs: DataFrame, model: Model, doc_id: str, text: str) -
 
     def make():
         def run(cols):
-            h, cls, _, at = tokens(cols[0].to_pylist())
-            keys = (h & ~np.int64(255)) | cls
+            keys, _, _, at = tokens(cols[0].to_pylist())
             each = [np.unique(keys[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
             return [[k for k, _ in each], [n for _, n in each]]
 
@@ -238,25 +295,21 @@ def _counted_by_shuffle(docs: DataFrame, model: Model, doc_id: str, text: str) -
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, broadcast_types: int = 6_000_000) -> DataFrame:
     """The rows of docs with n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability)."""
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n for n, _ in _FIELDS}]
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.normal))
     total, types = model.total, model.types
-    base, inside = float(np.log10(total + types + 1)), np.log10(model.class_tokens + model.class_types + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, np.log10(model.leaf_tokens + model.leaf_types + 1)))
+    base = float(np.log10(total + types + 1))
     here = _counted_here(docs, model, text) if types <= broadcast_types else None
     fields = [T.StructField("__n", T.LongType()), T.StructField("__c", T.DoubleType()), T.StructField("__k", T.LongType()), T.StructField("__l", T.DoubleType())]
 
     def make():
-        w, normal = shared.value
+        weights, inside = shared.value
         keys, n = here.value if here is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def run(cols):
-            h, cls, history, at = tokens(cols[0].to_pylist())
-            logs = -normal[history].astype(float)
-            for column in feature_rows(history).T:
-                logs += w[column, cls]
-            logs = logs / np.log(10.0) - inside[cls]
-            known, tops = np.zeros(len(h), dtype=bool), np.zeros(len(h))
+            wanted, _, features, at = tokens(cols[0].to_pylist())
+            logs = path_logs(weights, wanted, features) / np.log(10.0) - inside[leaf(wanted)]
+            known, tops = np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
             if len(keys):
-                wanted = (h & ~np.int64(255)) | cls
                 place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 known = keys[place] == wanted
                 tops = np.where(known, np.log10(n[place] + 1.0), 0.0)
