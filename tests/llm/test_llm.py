@@ -432,13 +432,53 @@ def test_language_model(spark, docs, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
-def test_language_model_sums_to_one(spark, docs):
-    model = lm.fit(docs.select("text"), epochs=3)
-    history = np.arange(0, lm.WORDS * lm.CLASSES, 997)
-    x = lm.logits(model.weights, lm.feature_rows(history)) - model.normal[history][:, None]
-    assert np.exp(x).sum(axis=1) == pytest.approx(np.ones(len(history)), abs=1e-4)
-    seen = (model.class_tokens + model.class_types) / (model.class_tokens + model.class_types + 1)  # (n + 1) / total over the types
-    assert np.all(seen + 1 / (model.class_tokens + model.class_types + 1) == pytest.approx(1.0))
+def test_language_model_probability_brute_force(spark, docs):
+    """The score of a text from the model's table, one step and one feature at a time; and all slots of a position have a total of 1."""
+    train = docs.select("text")
+    model = lm.fit(train, rounds=1)
+    count = {r["h"]: r["n"] for r in model.counts.collect()}
+    some = spark.createDataFrame([(i, prose(12, 40 + i) + " unseen") for i in range(3)] + [(9, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(some, model).collect()}
+    table = model.weights.astype(float)
+
+    def softmax(rows):
+        x = [sum(table[r][j] for r in rows) for j in range(lm.WIDTH)]
+        top = max(x)
+        return [math.exp(v - top) / sum(math.exp(u - top) for u in x) for v in x]
+
+    for key, text in some.collect():
+        keys, _, features, _ = lm.tokens([text])
+        want = 0.0
+        for i, k in enumerate(keys.tolist()):
+            c, s, place = k & 255, (k >> 8) & 255, 0
+            for step, taken in enumerate((c >> 4, c & 15, s >> 4, s & 15)):
+                place = (0, 1 + (c >> 4), 17 + c, 273 + 16 * c + (s >> 4))[step]
+                rows = [((int(f) ^ int(lm._PATHS[place])) * int(lm._ODD) % (1 << 64)) >> (64 - lm.BITS) for f in features[:, i]]
+                want += math.log10(softmax(rows)[taken])
+            here = [x for x in count if (x & 255, (x >> 8) & 255) == (c, s)]
+            want += math.log10((count.get(k, 0) + 1) / (sum(count[x] for x in here) + len(here) + 1))
+        assert got[key] == pytest.approx(want, rel=1e-4)
+    # leaves: over all 256 x 256 slots of one position
+    every = (np.arange(lm.LEAVES, dtype=np.int64) // 256) | ((np.arange(lm.LEAVES, dtype=np.int64) % 256) << 8)
+    _, _, features, _ = lm.tokens([prose(5, 1)])
+    logs = lm.path_logs(model.weights, every, np.repeat(features[:, 3:4], lm.LEAVES, axis=1))
+    assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def test_language_model_learns_what_follows(spark):
+    """Held-out texts of fixed successions score far above the shares of their words."""
+    r = random.Random(5)
+    follow = {w: r.choice(VOCAB) for w in VOCAB}
+
+    def chain(n):
+        out = [r.choice(VOCAB)]
+        while len(out) < n:
+            out.append(follow[out[-1]] if r.random() < 0.8 else r.choice(VOCAB))
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, chain(120)) for i in range(400)], "doc_id long, text string").repartition(2)
+    rows = [x for x in lm.lm_scores(df).collect() if x["held_out"]]
+    assert sum(x["score"] - x["base_score"] for x in rows) / sum(x["n_tokens"] for x in rows) > 0.25
 
 
 def test_pipeline_stages(spark):
