@@ -1,7 +1,7 @@
 """Language-model scores of texts by a hashed maximum-entropy model.
 
-A token is reached on a path of classes: 256 classes by spelling (the hash of its last two bytes), each with 256 slots by
-hash, both taken in two steps of 16. P(token | history) is the product of a softmax over 16 for each step, given the
+A token is reached on a path of classes: 256 classes by spelling (the hash of its last two bytes), taken in two steps of
+16, each with 16 slots by hash. P(token | history) is the product of a softmax over 16 for each step, given the
 history and the steps before, and of the token's smoothed share in its slot. So the softmax is factored by class, unseen
 tokens have a path too, and all outcomes of a position have a total of 1. The end of a text is a token of class 0.
 
@@ -38,17 +38,19 @@ from .common import map_columns, short_batches, staged
 from .shingles import _mix, word_hashes
 from .toxicity import fold
 
-CLASSES = SLOTS = 256
+CLASSES, SLOTS = 256, 16
 LEAVES = CLASSES * SLOTS
-WIDTH, STEPS, KINDS = 16, 4, 6
+WIDTH = 16
+#: How many kinds of features each step has. The rarest kind, of two tokens, bears on the first step of the class only.
+KINDS = (6, 5, 4)
 BITS = 17
 ROWS = 1 << BITS
 _U = np.uint64
 _END = np.int64(0x5DEECE66D1234567)
 _ODD = _U(0xD6E8FEB86659FD93)
 _FIELDS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-#: A hash of each place on a path: the root, 16 half classes, 256 classes, 4,096 half slots.
-_PATHS = _mix(np.arange(1, 2 + WIDTH + CLASSES + CLASSES * WIDTH, dtype=_U) * _ODD)
+#: A hash of each place on a path: the root, 16 half classes, 256 classes.
+_PATHS = _mix(np.arange(1, 2 + WIDTH + CLASSES, dtype=_U) * _ODD)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,15 +77,14 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
     end = (_END & ~np.int64(255)).view(np.int64)
     one, two = before(keys, 1, end).view(_U), before(keys, 2, end).view(_U)
-    kinds = [np.zeros(len(h), dtype=_U), one, one * _ODD + two, *(before(cls, n, 0).astype(_U) for n in (1, 2, 3))]
+    kinds = [np.zeros(len(h), dtype=_U), one, *(before(cls, n, 0).astype(_U) for n in (1, 2, 3)), one * _ODD + two]
     return keys, cls, np.stack([_mix(k + _U(i << 60)) for i, k in enumerate(kinds)]), at
 
 
 def path(keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each step, the places on the paths of keys before it and the outcomes taken."""
     cls, slot = keys & np.int64(CLASSES - 1), (keys >> 8) & np.int64(SLOTS - 1)
-    places = [np.zeros_like(cls), 1 + (cls >> 4), 1 + WIDTH + cls, 1 + WIDTH + CLASSES + cls * WIDTH + (slot >> 4)]
-    return places, [cls >> 4, cls & 15, slot >> 4, slot & 15]
+    return [np.zeros_like(cls), 1 + (cls >> 4), 1 + WIDTH + cls], [cls >> 4, cls & 15, slot]
 
 
 def leaf(keys: np.ndarray) -> np.ndarray:
@@ -114,8 +115,8 @@ def path_logs(weights: np.ndarray, keys: np.ndarray, features: np.ndarray, stret
     out = np.zeros(len(keys))
     for a in range(0, len(keys), stretch):
         part = slice(a, a + stretch)
-        for places, taken in zip(*path(keys[part])):
-            x = log_shares(logits(weights, feature_rows(features[:, part], places)))
+        for kinds, places, taken in zip(KINDS, *path(keys[part])):
+            x = log_shares(logits(weights, feature_rows(features[:kinds, part], places)))
             out[part] += x[np.arange(len(taken)), taken]
     return out
 
@@ -128,8 +129,8 @@ class Learner:
         self.past, self.met = np.full(len(weights), 1e-3, dtype=np.float32), np.zeros(len(weights), dtype=np.float32)
 
     def update(self, keys: np.ndarray, features: np.ndarray) -> None:
-        for places, taken in zip(*path(keys)):
-            rows = feature_rows(features, places)
+        for kinds, places, taken in zip(KINDS, *path(keys)):
+            rows = feature_rows(features[:kinds], places)
             gap = np.exp(log_shares(logits(self.weights, rows)))
             gap[np.arange(len(taken)), taken] -= 1
             # sorted by row, with the token's number in the low bits
@@ -211,17 +212,18 @@ def _round(train: DataFrame, text: str, weights: np.ndarray, rate: float, batch_
                 for a in range(0, len(keys), batch_tokens):
                     learner.update(keys[a : a + batch_tokens], features[:, a : a + batch_tokens])
         if learner:
-            change = ((learner.weights - start) * learner.met[:, None]).astype(np.float32)
+            change = (learner.weights - start).astype(np.float16)  # half the bytes to shuffle
             for piece in range(pieces):
                 rows = slice(piece * size, (piece + 1) * size)
-                blob = np.column_stack([learner.met[rows], change[rows]]).astype(np.float32).tobytes()
+                blob = learner.met[rows].tobytes() + change[rows].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([blob], pa.binary())], names=["piece", "blob"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(blob.as_buffer(), dtype=np.float32).astype(np.float64)
+                met = np.frombuffer(blob.as_buffer(), dtype=np.float32, count=size).astype(np.float64)[:, None]
+                part = np.hstack([met, met * np.frombuffer(blob.as_buffer(), dtype=np.float16, offset=4 * size).reshape(size, WIDTH)])
                 sums[piece] = sums[piece] + part if piece in sums else part
         for piece, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["piece", "blob"])
@@ -236,7 +238,7 @@ def _round(train: DataFrame, text: str, weights: np.ndarray, rate: float, batch_
     return out
 
 
-def fit(train: DataFrame, *, text: str = "text", rounds: int = 2, rate: float = 0.4, batch_tokens: int = 16384) -> Model:
+def fit(train: DataFrame, *, text: str = "text", rounds: int = 2, rate: float = 0.6, batch_tokens: int = 16384) -> Model:
     """Train on every row."""
     counts = staged(_counts(train, text), "lm-counts")
     by_leaf = counts.groupBy((F.col("h").bitwiseAND(F.lit(CLASSES - 1)) * SLOTS + F.shiftright("h", 8).bitwiseAND(F.lit(SLOTS - 1))).alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).toArrow()
