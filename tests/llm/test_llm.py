@@ -450,16 +450,16 @@ def test_language_model_probability_brute_force(spark, docs):
         keys, _, features, _ = lm.tokens([text])
         want = 0.0
         for i, k in enumerate(keys.tolist()):
-            c, s, place = k & 255, (k >> 8) & 255, 0
-            for step, taken in enumerate((c >> 4, c & 15, s >> 4, s & 15)):
-                place = (0, 1 + (c >> 4), 17 + c, 273 + 16 * c + (s >> 4))[step]
-                rows = [((int(f) ^ int(lm._PATHS[place])) * int(lm._ODD) % (1 << 64)) >> (64 - lm.BITS) for f in features[:, i]]
+            c, s = k & 255, (k >> 8) & 15
+            for step, taken in enumerate((c >> 4, c & 15, s)):
+                place = (0, 1 + (c >> 4), 17 + c)[step]
+                rows = [((int(f) ^ int(lm._PATHS[place])) * int(lm._ODD) % (1 << 64)) >> (64 - lm.BITS) for f in features[: lm.KINDS[step], i]]
                 want += math.log10(softmax(rows)[taken])
-            here = [x for x in count if (x & 255, (x >> 8) & 255) == (c, s)]
+            here = [x for x in count if (x & 255, (x >> 8) & 15) == (c, s)]
             want += math.log10((count.get(k, 0) + 1) / (sum(count[x] for x in here) + len(here) + 1))
         assert got[key] == pytest.approx(want, rel=1e-4)
-    # leaves: over all 256 x 256 slots of one position
-    every = (np.arange(lm.LEAVES, dtype=np.int64) // 256) | ((np.arange(lm.LEAVES, dtype=np.int64) % 256) << 8)
+    # over all 256 x 16 slots of one position
+    every = (np.arange(lm.LEAVES, dtype=np.int64) // 16) | ((np.arange(lm.LEAVES, dtype=np.int64) % 16) << 8)
     _, _, features, _ = lm.tokens([prose(5, 1)])
     logs = lm.path_logs(model.weights, every, np.repeat(features[:, 3:4], lm.LEAVES, axis=1))
     assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-3)
