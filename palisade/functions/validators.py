@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _CARD = r"(?U)(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
 _URL = r"(?U)https?://[^\s<>]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 _LONG = r"(?U)\b[a-zA-Z0-9_+/=-]{24,}\b"
 
 

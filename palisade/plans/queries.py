@@ -173,8 +173,7 @@ def provenance_filter(spark, sf_dir):
 
 def bipia_compose(spark, sf_dir):
     attacks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("attack"), F.lit("a.json").alias("file"), F.lit("c").alias("category"))
-    order = F.row_number().over(Window.orderBy("page_id")) - 1
-    contexts = table(spark, sf_dir, "pages").select(order.cast("long").alias("i"), F.col("html").alias("context"), F.lit("p.jsonl").alias("file"), F.col("page_id").alias("index"))
+    contexts = prepare.numbered(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("i", F.col("html").alias("context"), F.lit("p.jsonl").alias("file"), F.col("page_id").alias("index"))
     return prepare.compose_bipia(attacks, contexts).select("turn", "label", "group_id", "source", "split", F.sha2("text", 256).alias("text_sha256"))
 
 

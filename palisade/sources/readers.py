@@ -34,20 +34,36 @@ def read_jsonl(spark: SparkSession, path: str, source: str, split: str = "unspec
 
 
 def read_json(spark: SparkSession, path: str, source: str, split: str = "unspecified") -> DataFrame:
-    """A list of records, or an object whose data, records or examples is one (the first that is)."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
-    pick = lambda p: F.try_variant_get("v", p, "array<variant>")
-    listed = F.coalesce(*[pick(p) for p in ("$", "$.data", "$.records", "$.examples")])
-    rows = whole.select(F.posexplode(listed).alias("ordinal", "r"))
-    return rows.select(F.lit(source).alias("source"), F.lit(path.rsplit("/", 1)[-1]).alias("file"), F.lit(split).alias("original_split"), F.col("ordinal").cast("long").alias("ordinal"), F.to_json("r").alias("row"))
+    """A list of records, or an object whose data, records or examples is one (the first that is).
+
+    A file is read whole in one task. One that is no JSON, or holds no such list, gives a single row that is null, which
+    operators.prepare.adapt reports as an error; files over 2 GB raise one of Spark's.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    rows = rows_of(content.as_py(), ".json", strict=True)
+                except (ValueError, RecursionError):
+                    rows = [None]
+                file = name.rsplit("/", 1)[-1]
+                for at in range(0, len(rows), 1000):
+                    part = rows[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([source] * len(part)), pa.array([file] * len(part)), pa.array([split] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())],
+                        names=["source", "file", "original_split", "ordinal", "row"],
+                    )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, RAW)
 
 
 def read_parquet(spark: SparkSession, path: str, source: str, split: str = "unspecified") -> DataFrame:
     return _raw(spark.read.parquet(path), source, path.rsplit("/", 1)[-1], split)
 
 
-def rows_of(blob: bytes, suffix: str) -> list[str]:
-    """The records of a file's bytes as JSON texts."""
+def rows_of(blob: bytes, suffix: str, strict: bool = False) -> list[str]:
+    """The records of a file's bytes as JSON texts. strict: a JSON value without a list of records is an error."""
     import csv
 
     text = blob.decode("utf-8-sig")
@@ -57,7 +73,9 @@ def rows_of(blob: bytes, suffix: str) -> list[str]:
         return [line for line in text.split("\n") if line.strip()]
     value = json.loads(text)
     if isinstance(value, dict):
-        value = next((value[k] for k in ("data", "records", "examples") if isinstance(value.get(k), list)), [])
+        value = next((value[k] for k in ("data", "records", "examples") if isinstance(value.get(k), list)), None)
+    if strict and (not isinstance(value, list)):
+        raise ValueError("no list of records")
     return [json.dumps(r) for r in value] if isinstance(value, list) else []
 
 

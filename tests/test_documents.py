@@ -15,11 +15,11 @@ S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 
 def package(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
+    with io.BytesIO() as held:
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for part in parts.items():
+                z.writestr(*part)
+        return held.getvalue()
 
 
 def docx(*paragraphs: str, **more: str) -> bytes:
