@@ -7,8 +7,8 @@ are summed over a sliding window of lines; where the sum rises above `surge` the
 nothing it ends (the dive), and of all such stretches the one with most text is the article, together with what stands
 in the same container: the innermost one that holds most of the stretch. So noise inside an article doesn't end it,
 and its short opening and closing lines stay. Neighbours of the container's element and class belong to it, too, and so
-does a heading directly above. Where `article` or `main` hold the text, they are the containers, and text beside one
-belongs to it where it rises above `surge`.
+does a heading directly above; text of the stretch beside it, where that rises above `surge` by itself. An `article` or
+`main` element is a container like any other: the distribution decides on every page.
 
 Defined results: a null, empty or textless page gives the empty text. Character references are decoded once; white
 space inside a block becomes one space; blocks are trimmed and joined in page order by one newline. Unclosed and
@@ -50,7 +50,8 @@ _CONTENT = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: The elements that hold parts of a page. The other block-level ones are parts of a text, or the whole page.
 _CONTAINERS = {"article", "aside", "center", "dialog", "div", "fieldset", "footer", "form", "header", "main", "nav", "section", "td", "th"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s>/]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)", re.S)
+#: A quote opens a value only after an equals sign; a stray one is part of the tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?:>|$)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _CLASS = re.compile(r"\bclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -177,19 +178,6 @@ def _totals(values: Iterable[tuple[int, int]], places: Places) -> list[int]:
 def main_blocks(found: list[Block], places: Places, window: int = 3, surge: int = 80) -> list[str]:
     """The blocks of the article. `window` lines are summed; a stretch needs a window sum of `surge`."""
     good = [i for i, b in enumerate(found) if not b[1]]
-    weight: dict[int, int] = {}
-    for i in good:
-        weight[found[i][2]] = weight.get(found[i][2], 0) + len(found[i][0])
-    rooted = {r: n for r, n in weight.items() if r}
-    if rooted and max(rooted.values()) >= weight.get(0, 0) * 0.25:
-        best = max(rooted, key=lambda r: (rooted[r], -r))
-        home = places[best][0]
-        kept = {i for i in good if found[i][2] == best}
-        beside = {i for i in good if (places[found[i][2]][0] == home if found[i][2] else found[i][3] == home)} - kept
-        lengths = [len(b[0]) if i in beside else 0 for i, b in enumerate(found)]
-        kept |= {i for a, b in _stretches(lengths, window, surge) for i in range(a, b) if i in beside}
-        return [found[i][0] for i in sorted(kept)]
-
     lengths = [0 if b[1] else len(b[0]) for b in found]
     stretches = _stretches(lengths, window, surge)
     if not stretches:
@@ -208,6 +196,9 @@ def main_blocks(found: list[Block], places: Places, window: int = 3, surge: int
         for p in range(1, len(places)):
             like = places[p] == places[home] and (places[p][2] or places[p][1] == "section")
             inside[p] = p == home or bool(like) or inside[places[p][0]]
+        # of the stretch beside the container, what rises above the surge by itself belongs to it
+        beside = [n if i in kept and not inside[found[i][3]] else 0 for i, n in enumerate(lengths)]
+        kept = {i for a, b in _stretches(beside, window, surge) for i in range(a, b) if beside[i]}
         kept |= {i for i in good if inside[found[i][3]]}
     else:
         kept |= {i for a, b in stretches for i in range(a, b) if lengths[i] and not stands[found[i][3]]}
