@@ -282,6 +282,14 @@ def test_html_noise_inside_the_article():
     assert e(f"<div><article><p>{a}</p></article>{ad}<article><p>{b}</p></article><p>{c}</p><p>{c}</p></div><div><p>o</p><p>p</p></div>") == f"{a}\n{b}\n{c}\n{c}"
 
 
+def test_html_stray_quotes_and_long_pages():
+    e, ad = html_text.extract, "<div class=ad><p>x</p><p>y</p><p>z</p></div>"
+    assert e('<p class="a"">Hello') == "Hello"
+    assert e("""<p title='a>b' class="c>d">Hello <b id=x"y>there</b></p>""") == "Hello there"
+    many = [f"Paragraph {i} with quite some words in it." for i in range(20_000)]
+    assert e("<div class=post>" + ad.join(f"<p>{p}</p>" for p in many) + "</div>" + "<p>x" * 3) == "\n".join(many)
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "<p>x</p>", 6), (2, "<p>x</p>", 6)], "page_id long, html string, Text int")
     out = html_text.main_text(df)
