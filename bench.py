@@ -13,7 +13,6 @@ HEADLINE = [
     "normalize_digest", "policy_hits", "decisions", "chunk_windows", "cross_turn_text", "raw_row_adapter", "dedupe_records",
     "group_propagation", "topk_per_label", "class_candidates", "calibrated_metrics", "rate_limit", "audit_page",
 ]
-LLM = ["op1_quality_rules", "op2_line_dedup", "op3_decontamination", "op6_html_extraction", "op7_token_packing", "op9_mixing"]
 
 
 def main() -> None:
@@ -23,9 +22,12 @@ def main() -> None:
     try:
         from palisade.llm.queries import QUERIES as more
 
-        queries |= {n: more[n] for n in LLM}
-    except ImportError:
-        pass
+        import corpus_pipeline
+
+        queries |= {**more, "pipeline": corpus_pipeline.run}
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "palisade.llm"):
+            raise
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").write.format("noop").mode("overwrite").save()  # warm up
