@@ -37,7 +37,7 @@ def valid_prompts(requests: DataFrame, prompt: str = "prompt", settings: Setting
     """Requests whose body and prompt are within limits and not blank; only these are judged and audited."""
     s = settings or Settings()
     p = F.col(prompt)
-    return requests.where((F.octet_length(p) <= s.max_body_bytes) & (F.length(p) <= s.max_prompt_chars) & (F.length(F.trim(p)) > 0))
+    return requests.where((F.octet_length(p) <= s.max_body_bytes) & (F.length(p) <= s.max_prompt_chars) & p.rlike(r"[^\s\x1C-\x1F\x85\p{Z}]"))
 
 
 def audit_events(judged: DataFrame, *, prompt: str = "prompt", user: str | None = None, secret: str = "", created_at: Column | None = None, request_id: Column | None = None, latency_ms: Column | None = None) -> DataFrame:

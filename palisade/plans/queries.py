@@ -9,9 +9,12 @@ from ..functions.normalize import compact, folded_digest, normalize, prompt_hash
 from ..functions.validators import entropy, luhn
 from ..operators import chunks, evaluate, gateway, prepare
 from ..operators.decide import analyze, analyze_distinct, is_topic_question
-from ..policies import LABELS, policy_frame, seed
+from ..operators.scoring import classifier, entities, guard
+from ..policies import LABELS, Policy, policy_frame, seed
 from ..session import shared_checkpoints, spread
+from ..sources import readers
 from ..sources.readers import synthetic_examples
+from .examples import EXAMPLES, RAW_ROWS, VARIANTS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +84,96 @@ def reason_counts(spark, sf_dir):
     return _judged(spark, sf_dir).select(F.explode("analysis.safe_detection_summary").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def policy_examples(spark, sf_dir):
+    """Decisions over example prompts for every policy, intent and kind of variant."""
+    told = analyze(spark.createDataFrame([(n, t) for n, t, _ in EXAMPLES], "name string, text string")).select("name", "analysis.*")
+    return told.select("name", "decision", "highest_severity", F.array_join("matched_policy_codes", ",").alias("codes"), F.array_join("safe_detection_summary", "; ").alias("reasons"))
+
+
+def variant_examples(spark, sf_dir):
+    rows = spark.createDataFrame([(n, t) for n, t, _ in VARIANTS], "name string, text string")
+    return rows.select("name", F.array_join(variants(F.col("text")), " | ").alias("variants"))
+
+
+def own_policies(spark, sf_dir):
+    """Decisions of an administrator's own keywords and patterns, one policy switched off."""
+    mine = [
+        Policy("WORD", "pii", "low", "Word", keywords=("RED", "Anvil")),
+        Policy("SHAPE", "jailbreak", "medium", "Shape", regex_patterns=(r"^[a-m].*e$", r"\bs\w+\s+r")),
+        Policy("OFF", "pii", "critical", "Off", enabled=False, keywords=("e",)),
+    ]
+    told = analyze(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), "p_name", policies=mine).select("p_partkey", "analysis.*")
+    return told.select("p_partkey", "decision", "highest_severity", F.array_join("matched_policy_codes", ",").alias("codes"), F.array_join("safe_detection_summary", "; ").alias("reasons"))
+
+
+def _scores_by_length():
+    """A stand-in for a classifier: sure of personal data where a text has an even number of characters."""
+    return lambda window: {label: (0.9 if len(window) % 2 == 0 else 0.3) if label == "blocked_pii" else 0.4 if label == "allowed" else 0.1 for label in LABELS}
+
+
+def _attack_by_word():
+    """A stand-in for a guard: attacks name the word gizmo."""
+    return (lambda text: text.split(), lambda ids: 0.95 if "gizmo" in ids else 0.2)
+
+
+def _names_by_word():
+    return lambda text: ["blue"] if "blue" in text else []
+
+
+def model_stages(spark, sf_dir):
+    """Guard, entity and classifier stages over texts that no rule blocks."""
+    mine = [Policy("RULE", "credential", "high", "Rule", keywords=("red",)), Policy("PERSON", "pii", "low", "Person", keywords=("zzz",)), Policy("ATTACK", "prompt_injection", "critical", "Attack", keywords=("zzz",))]
+    stages = [guard(_attack_by_word), entities(_names_by_word), classifier(_scores_by_length, 0.8, 512)]
+    told = analyze(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), "p_name", policies=mine, scorers=stages).select("p_partkey", "analysis.*")
+    return told.select("p_partkey", "decision", "highest_severity", F.array_join("matched_policy_codes", ",").alias("codes"))
+
+
+def adapted_rows(spark, sf_dir):
+    """Text, label and error of raw rows of every shape."""
+    raw = spark.createDataFrame([(n, s, row) for n, s, row, *_ in RAW_ROWS], "file string, source string, row string")
+    found = prepare.adapt(raw.select("source", "file", F.lit("train").alias("original_split"), F.lit(0).cast("long").alias("ordinal"), "row"))
+    return found.select(F.col("file").alias("name"), "text", "label", "error")
+
+
+def file_sources(spark, sf_dir):
+    """Rows written as CSV, JSON lines, JSON and Parquet, and read again as raw rows of each source."""
+    import uuid
+
+    shared_checkpoints(spark)
+    folder = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/sources-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('"'), "c_name", F.lit('",\n'), "c_mktsegment").alias("text"))
+    few = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_custkey"), F.col("n_name").alias("text"))
+    rows.write.options(header=True, escape='"').csv(f"{folder}/csv")
+    rows.write.json(f"{folder}/jsonl")
+    rows.write.parquet(f"{folder}/parquet")
+    few.agg(F.to_json(F.struct(F.lit("x").alias("note"), F.collect_list(F.struct("c_custkey", "text")).alias("records"))).alias("value")).write.text(f"{folder}/json")
+    reads = {"csv": readers.read_csv, "jsonl": readers.read_jsonl, "parquet": readers.read_parquet, "json": readers.read_json}
+    parts = [read(spark, f"{folder}/{name}", name) for name, read in reads.items()]
+    raw = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return raw.select("source", "original_split", F.get_json_object("row", "$.c_custkey").cast("long").alias("key"), F.get_json_object("row", "$.text").alias("text"))
+
+
+def manifest_check(spark, sf_dir):
+    """Checksums of files against a manifest: right ones, wrong ones, unstated ones and missing files."""
+    docs = _documents(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    right = F.sha2("content", 256)
+    listed = docs.select("path", F.lit("train").alias("split"), F.when(F.col("doc_id") % 3 == 0, right).when(F.col("doc_id") % 3 == 1, F.lit("0")).alias("sha256"))
+    out = readers.verify_manifest(docs.where("doc_id % 5 <> 0").select("path", "content"), listed)
+    return out.select("path", "reason", "ok")
+
+
+def request_gates(spark, sf_dir):
+    """Prompts within the limits of a request that aren't blank; every seventh is white space only."""
+    asked = _documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit(" \t\n\u00A0\u2003")).otherwise(F.col("text")).alias("prompt"))
+    return gateway.valid_prompts(asked).select("doc_id", F.length("prompt").cast("long").alias("characters"))
+
+
+def identity_hashes(spark, sf_dir):
+    """The keyed hashes that stand for addresses and users."""
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("address"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("user"))
+    return named.select("c_custkey", gateway.rate_identity(F.col("address"), "k1").alias("address_hash"), gateway.user_identity(F.col("user"), "k1").alias("user_hash"))
+
+
 def page_decisions(spark, sf_dir):
     judged = analyze(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html")
     return judged.select("page_id", F.col("analysis.decision").alias("decision"), F.array_join("analysis.matched_policy_codes", ",").alias("codes"))
@@ -110,7 +203,7 @@ def synthetic(spark, sf_dir):
 
 def seed_merge(spark, sf_dir):
     """Seed a table that holds two changed policies and one with the earlier built-in pattern."""
-    from ..policies import EARLIER_PATTERNS, Policy
+    from ..policies import EARLIER_PATTERNS
 
     mine = [Policy("EMAIL", "pii", "low", "Mine", enabled=False, regex_patterns=("x@y",)), Policy("PHONE", "pii", "low", "Old", regex_patterns=(EARLIER_PATTERNS["PHONE"],)), Policy("OWN", "pii", "high", "Own", keywords=("k",))]
     out = seed(policy_frame(spark, mine))
@@ -292,6 +385,7 @@ QUERIES = {
         raw_row_adapter, split_buckets, dedupe_records, group_propagation, provenance_filter, bipia_compose, topk_per_label,
         balanced_sample, leakage_check, single_threshold, calibrated_metrics, class_candidates, class_thresholds,
         argmax_metrics, confusion, eval_by_source, gateway_evaluation, false_block_codes, workbook_metrics, rate_limit,
-        rate_counts, audit_page, audit_rows,
+        rate_counts, audit_page, audit_rows, policy_examples, variant_examples, own_policies, model_stages, adapted_rows,
+        file_sources, manifest_check, request_gates, identity_hashes,
     )
 } | {"synthetic_examples": synthetic}

@@ -7,10 +7,13 @@ hides anything in them.
 
 from __future__ import annotations
 
+import hashlib
+
 from ..functions import intent
 from ..operators.decide import _OWNED, _QUESTION, COMPACT_PHRASES
 from ..policies import BUILT_IN, CRITICAL, LABELS, REASONS, TOPIC_CODES
 from ..sources.readers import TEMPLATES
+from .examples import ADAPTED_ROWS, POLICY_EXAMPLES, POLICY_VARIANTS
 
 
 def _q(text: str) -> str:
@@ -114,6 +117,17 @@ _SCORES = (
     "scored AS (SELECT vec_id, label, list_transform(s, lambda x: x / (s[1] + s[2] + s[3] + s[4] + s[5] + s[6] + s[7])) AS s FROM sized), "
     f"won AS (SELECT *, s[1] AS allowed, list_max(s[2:7]) AS best, {LABELS[1:]!r}[list_position(s[2:7], list_max(s[2:7]))] AS winner FROM scored)"
 )
+_TURNS = judged("(SELECT concat_ws('-', conv_id, turn) AS request_id, text FROM conversations WHERE octet_length(encode(text)) <= 70000 AND length(text) <= 16000 AND regexp_matches(text, '\\S'))", "request_id", "text")
+
+
+def _hmac(algorithm: str, salt: str, secret: str, value: str) -> str:
+    """HMAC by its definition: the key is the digest of salt and secret, padded to a block."""
+    key = hashlib.new(algorithm, (salt + secret).encode()).digest().ljust(64, b"\0")
+    inner, outer = (f"unhex('{bytes(b ^ mask for b in key).hex()}')" for mask in (0x36, 0x5C))
+    return f"{algorithm}({outer} || unhex({algorithm}({inner} || encode({value}))))"
+
+
+_ADDRESS = "CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE 'unknown' END"
 _SAMPLED = f"WITH {_RAW}, sampled AS (SELECT DISTINCT label, digest FROM raw)"
 
 SQL = {
@@ -172,4 +186,19 @@ SQL = {
     "rate_limit": "SELECT event_id, user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER w AS nth, row_number() OVER w > 2 AS denied FROM events WINDOW w AS (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id)",
     "rate_counts": "SELECT user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS requests, greatest(count(*) - 2, 0) AS denied FROM events GROUP BY ALL",
     "audit_page": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100",
+    "audit_rows": f"WITH {_TURNS} SELECT request_id, sha256(text) AS prompt_hash, {_DECISION} AS decision, coalesce(codes, '') AS codes, false AS forwarded_to_llm FROM result",
+    "policy_examples": POLICY_EXAMPLES,
+    "variant_examples": POLICY_VARIANTS,
+    "own_policies": "WITH p AS (SELECT p_partkey, lower(p_name) AS v FROM part), h AS (SELECT p_partkey, contains(v, 'red') OR contains(v, 'anvil') AS word, regexp_matches(v, '^[a-m].*e$') OR regexp_matches(v, '\\bs\\w+\\s+r') AS shape FROM p) "
+    "SELECT p_partkey, CASE WHEN word OR shape THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, CASE WHEN shape THEN 'medium' WHEN word THEN 'low' END AS highest_severity, concat_ws(',', CASE WHEN shape THEN 'SHAPE' END, CASE WHEN word THEN 'WORD' END) AS codes, "
+    "concat_ws('; ', CASE WHEN word THEN 'Personal data detected' END, CASE WHEN shape THEN 'Prompt injection attempt detected' END) AS reasons FROM h",
+    "model_stages": "WITH h AS (SELECT p_partkey, contains(p_name, 'red') AS rule, list_contains(string_split(p_name, ' '), 'gizmo') AS attack, contains(p_name, 'blue') OR length(p_name) % 2 = 0 AS person FROM part) "
+    "SELECT p_partkey, CASE WHEN rule OR attack OR person THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, CASE WHEN rule THEN 'high' WHEN attack THEN 'critical' WHEN person THEN 'low' END AS highest_severity, "
+    "CASE WHEN rule THEN 'RULE' ELSE concat_ws(',', CASE WHEN attack THEN 'ATTACK' END, CASE WHEN person THEN 'PERSON' END) END AS codes FROM h",
+    "adapted_rows": ADAPTED_ROWS,
+    "file_sources": "WITH c AS (SELECT c_custkey AS key, '\"' || c_name || '\",' || chr(10) || c_mktsegment AS text FROM customer) "
+    "SELECT source, 'unspecified' AS original_split, key, text FROM c, (VALUES ('csv'), ('jsonl'), ('parquet')) s(source) UNION ALL SELECT 'json', 'unspecified', n_nationkey, n_name FROM nation",
+    "manifest_check": "WITH d AS (SELECT doc_id, 'd/' || doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing file' WHEN doc_id % 3 = 1 THEN 'checksum mismatch' END AS reason FROM documents) SELECT path, reason, reason IS NULL AS ok FROM d",
+    "request_gates": "SELECT doc_id, length(text)::BIGINT AS characters FROM documents WHERE doc_id % 7 <> 0 AND regexp_matches(text, '\\S') AND length(text) <= 16000 AND octet_length(encode(text)) <= 70000",
+    "identity_hashes": f"SELECT c_custkey, {_hmac('sha1', 'dlp-rate', 'k1', _ADDRESS)} AS address_hash, CASE WHEN c_custkey % 5 <> 0 THEN {_hmac('sha256', 'dlp-user', 'k1', 'c_custkey::VARCHAR')} END AS user_hash FROM customer",
 }
