@@ -31,6 +31,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
 """
 
+OP5 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORDS}'), []) AS w FROM documents),
+texts AS (SELECT w, row_number() OVER () AS t, min(doc_id) AS id FROM docs WHERE len(w) > 0 GROUP BY w),
+sets AS MATERIALIZED (SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS s FROM texts, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i)),
+sizes AS MATERIALIZED (SELECT t, count(*)::BIGINT AS n FROM sets GROUP BY t),
+met AS (SELECT a.t AS u, b.t AS v, count(*) AS m FROM sets a JOIN sets b ON a.s = b.s AND a.t < b.t GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM met JOIN sizes a ON a.t = u JOIN sizes b ON b.t = v WHERE 100 * m >= 75 * (a.n + b.n - m)),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(t, z) AS (SELECT t, t FROM sizes UNION SELECT v, z FROM reach JOIN ways ON reach.t = u),
+components AS (SELECT r.t, min(id) AS least FROM reach r JOIN texts ON z = texts.t GROUP BY r.t),
+found AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id
+  FROM docs LEFT JOIN texts USING (w) LEFT JOIN sizes USING (t) LEFT JOIN components USING (t))
+SELECT *, component_id IS NOT DISTINCT FROM doc_id AS kept FROM found
+"""
+
 OP9 = f"""
 WITH sized AS (SELECT doc_id, source, md5('9:' || coalesce(doc_id::VARCHAR, '')) AS key,
   coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size FROM documents),
@@ -51,4 +66,4 @@ SELECT f.doc_id, f.size, f.source_size, f.target, coalesce(t.taken, 0)::BIGINT A
 FROM finished f LEFT JOIN taken t ON f.key = t.key AND f.doc_id IS NOT DISTINCT FROM t.doc_id AND f.source IS NOT DISTINCT FROM t.source
 """
 
-SQL = {"op2_line_dedup": OP2, "op3_decontamination": OP3, "op9_mixing": OP9}
+SQL = {"op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_near_duplicates": OP5, "op9_mixing": OP9}
