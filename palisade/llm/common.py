@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -87,6 +88,14 @@ def short_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Give the system back what a finished task's arrays left behind: Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def map_columns(
     df: DataFrame,
     inputs: list[str],
@@ -119,6 +128,6 @@ def map_columns(
                 new = fn(columns[k:])
                 new = [pa.array(x, type=f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(new, target)]
                 yield pa.RecordBatch.from_arrays([*columns[:k], *new], names=names)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return packed.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_columns, staged
+from .common import discard, map_columns, release, staged
 from .shingles import Signer, _mix, set_digest, shingle_sets
 
 _U = np.uint64
@@ -100,6 +100,7 @@ def _listed(sets: DataFrame) -> DataFrame:
                 members = [np.frombuffer(m.as_buffer(), dtype=np.int64) for m in batch.column(1)]
                 nodes = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), [len(m) for m in members])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(members) if members else np.zeros(0, np.int64))], names=["node", "s"])
+        release()
 
     return sets.select("node", "members").mapInArrow(run, "node long, s long")
 
@@ -151,6 +152,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return both.mapInArrow(check, "u long, v long")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import release, short_batches
 
 #: Where the tokenizer's ranks lie on every machine, unless the caller names another place.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,29 +45,30 @@ _UNIT = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-
 
 
 class Tokens:
-    """Encodes texts; the ids of a unit are looked up once and kept, up to a bounded number of units."""
+    """Encodes texts; the ids of a unit are looked up once and kept as bytes, up to a bounded number of units."""
 
-    def __init__(self, ranks: str = RANKS, keep: int = 300_000):
+    def __init__(self, ranks: str = RANKS, keep: int = 100_000):
         import tiktoken
 
         pairs = (line.split() for line in Path(ranks).read_bytes().splitlines() if line)
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
         self.keep, self.known = keep, {}
+        self.end = np.array([END], dtype=np.uint16).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         known, encode = self.known, self.encoding.encode_ordinary
         if len(known) > self.keep:
             known.clear()
-        out: list[int] = []
+        out: list[bytes] = []
         for unit in _UNIT.findall(text or ""):
             ids = known.get(unit)
             if ids is None:
-                ids = encode(unit)
+                ids = np.array(encode(unit), dtype=np.uint16).tobytes()
                 if len(unit) <= 64:
                     known[unit] = ids
-            out += ids
-        out.append(END)
-        return np.array(out, dtype=np.uint16)
+            out.append(ids)
+        out.append(self.end)
+        return np.frombuffer(b"".join(out), dtype=np.uint16)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode([int(x) for x in ids if x != END])
@@ -185,6 +186,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
                     block, held, number = [], 0, number + 1
         if block:
             yield from out(block)
+        del block, tokens
+        release()
 
     return rows.mapInArrow(run, schema)
 
