@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .cotraining import classify
 from .decontamination import decontaminate
+from .filter_audit import filter_flags, interactions
 from .html_text import main_text
 from .line_dedup import drop_boilerplate
 from .lm import lm_scores
@@ -15,7 +16,9 @@ from .mixing import fair_queue
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
+from .ranked_search import build_index, search
 from .toxicity import toxicity
+from .two_fit import pack_two_fit
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(filter_flags(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_two_fit(read_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -82,4 +98,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_language_model": op10_language_model,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_best_two_fit": op12_best_two_fit,
+    "op13_ranked_search": op13_ranked_search,
 }

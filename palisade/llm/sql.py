@@ -66,4 +66,41 @@ SELECT f.doc_id, f.size, f.source_size, f.target, coalesce(t.taken, 0)::BIGINT A
 FROM finished f LEFT JOIN taken t ON f.key = t.key AND f.doc_id IS NOT DISTINCT FROM t.doc_id AND f.source IS NOT DISTINCT FROM t.source
 """
 
-SQL = {"op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_near_duplicates": OP5, "op9_mixing": OP9}
+OP11 = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, unnest(regexp_extract_all(t, '{_WORDS}')) AS word FROM texts),
+totals AS (SELECT r, count(*) AS n, count(DISTINCT word) AS d FROM words GROUP BY r),
+marks AS (SELECT doc_id, max(quality) FILTER (WHERE quality = 1) AS good, max(toxic) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  [coalesce(n, 0) < 200, 100 * coalesce(d, 0) < 50 * coalesce(n, 0), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+   regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM texts LEFT JOIN totals USING (r) LEFT JOIN marks USING (doc_id)),
+sets AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, f),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+orders AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, array_to_string([substr('ABCDE', i::INT, 1) FOR i IN o], '') AS filter_order, step, o[step] AS here, o[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+counted AS (SELECT part, filter_order, step, here, n, good, toxic, f[here] AS fails, len([i FOR i IN before IF f[i]]) > 0 AS gone, len([x FOR x IN f IF x]) AS k FROM steps, sets),
+report AS (SELECT part, filter_order, step, here,
+  sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails AND k = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counted GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, here))::BIGINT AS shapley FROM report
+"""
+
+_TERMS = f"coalesce({_ALNUM.format(_LOWER)}, [])"
+OP13 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT sum((len(w) > 0)::INT)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs),
+asked AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, sizes GROUP BY term, n_docs),
+norms AS (SELECT r, 75 + (25 * len(w)::BIGINT * n_docs) // n_terms AS m FROM docs, sizes WHERE len(w) > 0),
+scores AS (SELECT q, item_id, r, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scores JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL = {"op2_line_dedup": OP2, "op3_decontamination": OP3, "op5_near_duplicates": OP5, "op9_mixing": OP9, "op11_filter_audit": OP11, "op13_ranked_search": OP13}
