@@ -21,8 +21,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,42 +32,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import release, short_batches, staged
+from .packing import _UNIT, RANKS, Tokens
 
 #: Where the tokenizer lies on every machine, unless the caller names another place.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END = 0
+#: Characters outside ASCII, the Latin blocks (without their two spaces) and common punctuation.
+_OTHER = re.compile("[^\\x00-\\x7f\\u00a1-\\u024f\\u2010-\\u2027]")
 
-#: A word with the one space before it, or white space of no word: the tokenizer's own cuts never cross these.
-#: Python's \s holds U+001C to U+001F, which the tokenizer's doesn't.
-_UNIT = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+
+class _Known(dict):
+    """Ids of units, encoded when first asked for. Two generations bound it: what an old one still gives lives on."""
+
+    def __init__(self, encode: Callable[[str], bytes], keep: int):
+        self.encode, self.keep, self.old = encode, keep, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit) or self.encode(unit)
+        if len(unit) <= 64:
+            self[unit] = ids
+        return ids
+
+    def shrink(self) -> None:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
 
 
 class UnitIds:
-    """Ids of texts as little-endian uint32; the ids of a short unit are looked up once, up to a bounded number of units."""
+    """Ids of texts as little-endian uint32. Most texts repeat their words, so the ids of a unit are kept.
 
-    def __init__(self, path: str = TOKENIZER, keep: int = 100_000):
+    What counts as a letter, a digit or a space has long been settled for ASCII, the Latin letters and their punctuation:
+    units of these get the same ids from the same vocabulary as ranks, by a faster library. The tokenizer's own library
+    encodes all others.
+    """
+
+    def __init__(self, path: str = TOKENIZER, ranks: str = RANKS, keep: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.known = keep, {}
+        plain, whole = Tokens(ranks).encoding.encode_ordinary, self.tokenizer.encode
+
+        def encode(unit: str) -> bytes:
+            settled = unit.isascii() or not _OTHER.search(unit)
+            return array("I", plain(unit) if settled else whole(unit, add_special_tokens=False).ids).tobytes()
 
-    def _encoded(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        self.known = _Known(encode, keep)
 
     def encode(self, text: str | None) -> bytes:
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        units = _UNIT.findall(text or "")
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        long = {}
-        for unit, ids in zip(new, self._encoded(new) if new else []):
-            (known if len(unit) <= 64 else long)[unit] = ids
-        if long:
-            return b"".join([long[u] if u in long else known[u] for u in units])
-        return b"".join([known[u] for u in units])
+        self.known.shrink()
+        return b"".join(map(self.known.__getitem__, _UNIT.findall(text or "")))
 
 
 def cuts(size: int, length: int) -> list[tuple[int, int]]:
@@ -160,7 +177,7 @@ class Places:
         return self.first[at] + nth // self.uses[at], self.offset[at] + nth % self.uses[at] * sizes
 
 
-def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 2048, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 2048, tokenizer: str = TOKENIZER, ranks: str = RANKS, keep_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, the task that made it and its rank there among its length.
 
     keep_ids adds the ids themselves (little-endian uint32).
@@ -176,7 +193,7 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, task, units, seen = to_arrow_schema(schema), TaskContext.get().partitionId(), UnitIds(tokenizer), Counter()
+        target, task, units, seen = to_arrow_schema(schema), TaskContext.get().partitionId(), UnitIds(tokenizer, ranks), Counter()
         end = np.array([END], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -196,12 +213,12 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return rows.mapInArrow(run, schema)
 
 
-def pack_two_fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 2048, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
+def pack_two_fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 2048, tokenizer: str = TOKENIZER, ranks: str = RANKS, keep_ids: bool = False) -> DataFrame:
     """One row a piece with sequence_id and offset, the place of its first id in that sequence."""
     if not 0 < length < 1 << 15:
         raise ValueError("1 to 32767 tokens a sequence")
     spark = docs.sparkSession
-    pieces = staged(token_pieces(docs, doc_id=doc_id, text=text, length=length, tokenizer=tokenizer, keep_ids=keep_ids), "fit-pieces")
+    pieces = staged(token_pieces(docs, doc_id=doc_id, text=text, length=length, tokenizer=tokenizer, ranks=ranks, keep_ids=keep_ids), "fit-pieces")
     counted = staged(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "fit-counts")
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(Places(plan_sequences(counts, length)))
