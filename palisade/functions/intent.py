@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from .patterns import search
+from pyspark.sql import Column
 
 # Any of these overrides the policy, whatever else the text says.
 OVERRIDES = [
@@ -67,24 +69,18 @@ PAIRS = {
 CODES = sorted({"POLICY_OVERRIDE", *IDENTITY_CODES, *PAIRS})
 
 
-def gate(value: Column) -> Column:
-    """Whether the text asks for something to be done with referenced material."""
-    return value.rlike("(?iU)" + REFERENCE) & value.rlike("(?iU)" + ACTION)
-
+def gate(has: Callable[[str], Column]) -> Column:
+    """Whether the text asks for something to be done with referenced material. has: whether a pattern matches."""
+    return has(REFERENCE) & has(ACTION)
 
-def intent(value: Column, gated: Column, code: str) -> Column | None:
-    """Whether a normalised text shows the intent of a code; None if no intent belongs to it.
 
-    gated is gate(value), which the caller computes once for all codes.
-    """
+def intent(has: Callable[[str], Column], code: str) -> Column | None:
+    """Whether a normalised text shows the intent of a code; None if no intent belongs to it."""
     if code == "POLICY_OVERRIDE":
-        found = search(value, OVERRIDES[0])
-        for pattern in OVERRIDES[1:]:
-            found = found | search(value, pattern)
-        return found
+        return reduce(or_, [has(pattern) for pattern in OVERRIDES])
     if code in IDENTITY_CODES:
-        return gated & search(value, IDENTITY_CODES[code]) & search(value, IDENTITY)
+        return gate(has) & has(IDENTITY_CODES[code]) & has(IDENTITY)
     if code in PAIRS:
         topic, kind = PAIRS[code]
-        return gated & search(value, topic) & search(value, kind)
+        return gate(has) & has(topic) & has(kind)
     return None

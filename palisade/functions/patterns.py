@@ -1,8 +1,7 @@
-"""Pattern search with literal prefilters.
+"""The literals that a pattern can't match without, from its syntax tree.
 
-Java's case-insensitive Unicode matching is slow, and almost no text holds what a policy looks for. So each
-alternative of a pattern is searched only where one of the literals that it can't match without is there: a plain
-substring test, which codegen keeps on bytes. The literals come from the pattern's syntax tree.
+Almost no text holds what a policy looks for, so each alternative of a pattern is searched only where one of its
+literals is there (see scan).
 """
 
 from __future__ import annotations
@@ -11,9 +10,6 @@ from functools import lru_cache
 from re import _constants as op
 from re import _parser as parser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Stands for "some decimal digit" among the literals.
 DIGIT = "\\d"
 _DIGITS = set(range(48, 58))
@@ -83,21 +79,3 @@ def needed_literals(pattern: str) -> tuple[str, ...] | None:
     found = _needed(parser.parse(pattern))
     return tuple(sorted(found)) if found and len(found) <= 40 else None
 
-
-def search(value: Column, pattern: str, has_digit: Column | None = None) -> Column:
-    """Whether a case-folded text has a match of the pattern, ignoring case, with Unicode classes.
-
-    has_digit: whether the text has a decimal digit, if the caller has computed it.
-    """
-    result = None
-    for part in alternatives(pattern):
-        found = value.rlike("(?iU)" + part)
-        literals = needed_literals(part)
-        if literals:
-            there = None
-            for literal in literals:
-                test = (value.rlike(r"\p{Nd}") if has_digit is None else has_digit) if literal == DIGIT else value.contains(literal)
-                there = test if there is None else there | test
-            found = there & found
-        result = found if result is None else result | found
-    return result

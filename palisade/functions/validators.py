@@ -11,6 +11,16 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 _LONG = r"(?U)\b[a-zA-Z0-9_+/=-]{24,}\b"
 
+#: What a text has if the check of a policy can find anything (patterns of the scan).
+POSSIBLE = {
+    "CREDIT_CARD": r"(?:\d[ -]?){13}",
+    "IP_ADDRESS": r":[0-9a-f.]*:|[0-9](?:\.[0-9]+){3}",
+    "ENTROPY": r"[a-zA-Z0-9_+/=-]{24}",
+    "CONNECTION_STRING": r"https?://",
+    "INTERNAL_DOMAIN": r"https?://",
+}
+URL = POSSIBLE["CONNECTION_STRING"]
+
 
 def luhn(value: Column) -> Column:
     """13 to 19 ASCII digits, not all the same, whose check digit is right; other characters are ignored."""
@@ -65,9 +75,25 @@ def has_url_user(value: Column) -> Column:
     return F.exists(_urls(value), lambda u: _netloc(u).contains("@"))
 
 
+#: A bracketed host: an IPv6 address, perhaps with a zone, or an address of a later version.
+_LATER = r"^v[0-9a-f]+\.[a-z0-9._~!$&'()*+,;=:-]+\z"
+
+
+def _broken(url: Column) -> Column:
+    """Whether a URL can't be split: brackets that don't pair, text around them, or no address in them."""
+    netloc = _netloc(url)
+    host = F.regexp_replace(netloc, r"^.*@", "")
+    inside = F.regexp_extract(host, r"^\[([^\[\]]*)\](?::[^\[\]]*)?\z", 1)
+    # a zone follows the address: what a percent sign cuts off
+    address = is_ip(F.substring_index(inside, "%", 1)) & inside.contains(":") & ~inside.rlike("%(?:$|.*%)")
+    whole = host.rlike(r"^\[[^\[\]]*\](?::[^\[\]]*)?\z")
+    bracketed = netloc.contains("[") | netloc.contains("]")
+    return bracketed & ~(whole & (address | inside.rlike(_LATER)))
+
+
 def has_broken_url(value: Column) -> Column:
-    """A URL whose host brackets don't match: it can't be split, so the prompt can't be judged."""
-    return F.exists(_urls(value), lambda u: _netloc(u).contains("[") != _netloc(u).contains("]"))
+    """A URL that can't be split, so that the prompt can't be judged."""
+    return F.exists(_urls(value), _broken)
 
 
 def entropy(token: Column) -> Column:

@@ -1,25 +1,25 @@
 """Decisions: every enabled policy over every variant of a text, as one projection.
 
-The plan has no join and no shuffle: policies are compiled into column expressions. Variants are bound once as an
-array of structs with what several policies share, and each policy is an exists() over it, which stops at the first
-variant that hits. Policies whose patterns aren't built in run in an Arrow function with a time limit, because Java's
-regular expressions have none. Whatever can't be evaluated makes the decision fail closed.
+The plan has no join and no shuffle. One scan of each variant (functions.scan) finds which of all policies' patterns are
+in it, within a budget; policies are column expressions over the numbers of what was found, and each is an exists()
+over the variants, which stops at the first that hits. Checks that a pattern can't make run only on variants in
+which the scan found that they may succeed. Whatever can't be evaluated makes the decision fail closed.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import intent as intents
 from ..functions import validators
-from ..functions.normalize import compact, normal_form, variants
-from ..functions.patterns import search
+from ..functions.normalize import normal_form, variants
+from ..functions.scan import Patterns, scan
 from ..policies import PATTERNS, REASONS, SEVERITIES, TOPIC_CODES, UNAVAILABLE, InvalidPolicy, Policy, built_in_policies
 from ..settings import Settings
 
@@ -43,9 +43,12 @@ _QUESTION = (
 )
 
 
+_TOPIC_QUESTION = rf"^{_QUESTION}\s+(?:(?:an?|the)\s+)?[a-z][a-z -]{{2,100}}[?.]?$"
+
+
 def is_topic_question(value: Column) -> Column:
     """A short question about a topic in general, without identifiers, content or ownership."""
-    return value.rlike(rf"(?U)^{_QUESTION}\s+(?:(?:an?|the)\s+)?[a-z][a-z -]{{2,100}}[?.]?$") & ~value.rlike("(?U)" + _OWNED)
+    return value.rlike("(?U)" + _TOPIC_QUESTION) & ~value.rlike("(?U)" + _OWNED)
 
 
 def unavailable() -> Column:
@@ -72,66 +75,63 @@ def _special(code: str, value: Column, settings: Settings) -> Column | None:
     return None
 
 
-def _hit(policy: Policy, v: Column, *, settings: Settings) -> Column:
-    """Whether one variant (a struct of _bound) triggers a policy, but for patterns that aren't built in."""
-    value, parts = v["t"], []
-    built_in = PATTERNS.get(policy.code)
-    if built_in and built_in in policy.regex_patterns:
-        found = search(value, built_in, v["d"])
-        parts.append(found & ~v["q"] if policy.code in TOPIC_CODES else found)
-    parts += [value.contains(normal_form(word)) for word in policy.keywords]
-    for more in (_special(policy.code, value, settings), intents.intent(value, v["g"], policy.code)):
-        if more is not None:
-            parts.append(more)
-    if policy.category in ("prompt_injection", "jailbreak"):
-        parts += [v["c"].contains(phrase) for phrase in COMPACT_PHRASES.get(policy.code, [])]
-    hit = F.lit(False)
-    for part in parts:
-        hit = hit | part
-    return hit
-
+def _hit(policy: Policy, v: Column, sought: Patterns, settings: Settings) -> Column:
+    """Whether one variant (t, its text, and ids, the numbers of what was found in it) triggers a policy."""
+    value, built_in, parts = v["t"], PATTERNS.get(policy.code), []
 
-def _tester(policy: Policy, settings: Settings) -> Callable[[Column], Column]:
-    return lambda v: _hit(policy, v, settings=settings)
+    def found(number: int) -> Column:
+        return F.array_contains(v["ids"], F.lit(number))
 
+    def has(pattern: str) -> Column:
+        return found(sought.pattern(pattern))
 
-def _bound(text: Column) -> Column:
-    """The variants with what policies share: text, topic question, gate of the intents, compact form, has a digit."""
-    return F.transform(variants(text), lambda t: F.struct(t.alias("t"), is_topic_question(t).alias("q"), intents.gate(t).alias("g"), compact(t).alias("c"), t.rlike(r"\p{Nd}").alias("d")))
-
+    for pattern in policy.regex_patterns:
+        if pattern != built_in:
+            parts.append(found(sought.own(pattern)))
+        elif policy.code in TOPIC_CODES:
+            parts.append(has(pattern) & ~(found(sought.own(_TOPIC_QUESTION)) & ~has(_OWNED)))
+        else:
+            parts.append(has(pattern))
+    parts += [value.contains(normal_form(word)) for word in policy.keywords]
+    special, possible = _special(policy.code, value, settings), validators.POSSIBLE.get(policy.code)
+    if special is not None and policy.code == "INTERNAL_DOMAIN":
+        parts.append(special)  # a configured domain may stand outside URLs
+    elif special is not None:
+        parts.append(has(possible) & special if possible else special)
+    by_intent = intents.intent(has, policy.code)
+    if by_intent is not None:
+        parts.append(by_intent)
+    if policy.category in ("prompt_injection", "jailbreak"):
+        parts += [found(sought.phrase(phrase)) for phrase in COMPACT_PHRASES.get(policy.code, [])]
+    return reduce(or_, parts, F.lit(False))
 
-def _timed(patterns: list[str], seconds: float):
-    """An Arrow function from variants to 1 (hit), 0 (none) or -1 (out of time)."""
 
-    @F.pandas_udf(T.IntegerType())
-    def search(columns: pd.Series) -> pd.Series:
-        import regex
+def _tester(policy: Policy, sought: Patterns, settings: Settings) -> Callable[[Column], Column]:
+    return lambda v: _hit(policy, v, sought, settings)
 
-        compiled = [regex.compile(p, regex.I) for p in patterns]
 
-        def one(values) -> int:
-            try:
-                return int(any(c.search(v, timeout=seconds) for v in (values if values is not None else []) for c in compiled))
-            except TimeoutError:
-                return -1
+def matched_codes(policies: list[Policy], texts: Column, settings: Settings) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Column]:
+    """What the scan has to be asked and what follows from it.
 
-        return columns.map(one)
+    Returns functions from the bound variants to the sorted codes of the policies that hit and to whether the text can't be
+    judged, and the bound variants: an array of structs of a text and the numbers of what was found in it.
+    """
+    sought = Patterns()
+    ordered = sorted(policies, key=lambda p: p.code)
+    probe = F.struct(F.lit("").alias("t"), F.array().cast("array<int>").alias("ids"))
+    for policy in ordered:  # numbers everything that the policies look for
+        _hit(policy, probe, sought, settings)
+    urls = sought.pattern(validators.URL) if {p.code for p in policies} & {"INTERNAL_DOMAIN", "CONNECTION_STRING"} else None
+    bound = F.transform(F.arrays_zip(texts.alias("t"), scan(texts, sought, settings.regex_timeout_seconds).alias("ids")), lambda z: F.struct(z["t"].alias("t"), z["ids"].alias("ids")))
 
-    return search
+    def codes(v: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.exists(v, _tester(p, sought, settings)), F.lit(p.code)) for p in ordered]))
 
+    def failed(v: Column) -> Column:
+        late = F.exists(v, lambda x: x["ids"].isNull())
+        return late if urls is None else late | F.exists(v, lambda x: F.array_contains(x["ids"], F.lit(urls)) & validators.has_broken_url(x["t"]))
 
-def matched_codes(policies: list[Policy], bound: Column, settings: Settings) -> tuple[Column, Column]:
-    """The sorted codes of the enabled policies that hit, and whether some policy ran out of time."""
-    found, late = [], F.lit(False)
-    texts = F.transform(bound, lambda v: v["t"])
-    for policy in sorted(policies, key=lambda p: p.code):
-        own = [p for p in policy.regex_patterns if p != PATTERNS.get(policy.code)]
-        hits = F.exists(bound, _tester(policy, settings))
-        if own:
-            timed = _timed(own, settings.regex_timeout_seconds)(texts)
-            hits, late = hits | (timed == 1), late | (timed == -1)
-        found.append(F.when(hits, F.lit(policy.code)))
-    return F.array_compact(F.array(*found)), late
+    return codes, failed, bound
 
 
 def _result(codes: Column, policies: list[Policy]) -> Column:
@@ -171,13 +171,11 @@ def analyze(df: DataFrame, text: str = "text", *, policies: list[Policy] | None
     if chosen is None:
         return df.withColumn(out, unavailable())
     columns = [F.col(f"`{c}`") for c in df.columns if c != out]
-    codes_of = {p.code for p in chosen}
     # one-element explodes keep the optimiser from copying these columns into filters that it pushes down
-    bound = df.select(*columns, F.explode(F.array(_bound(F.col(text)))).alias("__v"))
-    codes, late = matched_codes(chosen, F.col("__v"), settings)
-    broken = F.exists("__v", lambda v: validators.has_broken_url(v["t"])) if codes_of & {"INTERNAL_DOMAIN", "CONNECTION_STRING"} else F.lit(False)
-    failed = F.col("__v").isNull() | late | broken
-    both = F.struct(codes.alias("codes"), F.coalesce(failed, F.lit(True)).alias("failed"))
+    varied = df.select(*columns, F.explode(F.array(variants(F.col(text)))).alias("__t"))
+    codes, failed, bound_variants = matched_codes(chosen, F.col("__t"), settings)
+    bound = varied.select(*columns, F.explode(F.array(bound_variants)).alias("__v"))
+    both = F.struct(codes(F.col("__v")).alias("codes"), F.coalesce(F.col("__v").isNull() | failed(F.col("__v")), F.lit(True)).alias("failed"))
     judged = bound.select(*columns, F.explode(F.array(both)).alias("__j")).select(*columns, F.col("__j.codes").alias("__codes"), F.col("__j.failed").alias("__failed"))
     for scorer in scorers or []:
         judged = scorer.extend(judged, text, chosen)

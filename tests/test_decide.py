@@ -172,3 +172,49 @@ def test_scoring_stages(spark):
     assert "JAILBREAK" not in analyze(df, scorers=[sure]).first()["analysis"]["matched_policy_codes"]
     only = [p for p in built_in_policies() if p.category == "pii"]
     assert analyze(df, policies=only, scorers=[sure]).first()["analysis"]["safe_detection_summary"] == [UNAVAILABLE]
+
+
+@pytest.mark.parametrize(
+    "url", ["http://[abc]/x", "http://a]b[/", "http://[::1", "http://::1]/", "http://[]/", "http://x[::1]/", "http://[::1]x/", "http://[1.2.3.4]/", "http://[::1%]/", "http://u@[zz]/", "https://[v.x]/"]
+)
+def test_urls_that_cannot_be_split_are_unavailable(spark, url):
+    told = analyze(spark.createDataFrame([(f"see {url} now",)], "text string")).first()["analysis"]
+    assert told["decision"] == "BLOCKED" and told["safe_detection_summary"] == [UNAVAILABLE]
+
+
+@pytest.mark.parametrize("url", ["http://[2001:db8::1]/x", "http://[2001:db8::1]:8080/", "http://[v1.fe80::a+x]/", "http://plain.example/a[1]", "http://plain.example?q=]"])
+def test_urls_with_addresses_can_be_split(spark, url):
+    told = analyze(spark.createDataFrame([(f"see {url} now",)], "text string")).first()["analysis"]
+    assert told["safe_detection_summary"] != [UNAVAILABLE]
+
+
+def test_backtracking_texts_are_unavailable_in_bounded_time(spark):
+    import time
+
+    slow = Policy("SLOW", "pii", "low", "Slow", regex_patterns=(r"(?:a+)+$",))
+    rows = spark.createDataFrame([("a" * 15_000 + "!",), ("nothing here",)], "text string")
+    start = time.perf_counter()
+    told = {r["text"][:1]: r["analysis"] for r in analyze(rows, policies=[slow]).collect()}
+    assert told["a"]["safe_detection_summary"] == [UNAVAILABLE] and told["n"]["decision"] == "ALLOWED"
+    assert time.perf_counter() - start < 20
+
+
+def test_scan_finds_what_plain_searches_find():
+    import random
+
+    import regex
+
+    from palisade.functions import intent
+    from palisade.functions.scan import Patterns, Scanner
+
+    patterns = [p for _, _, p in BUILT_IN if p] + intent.OVERRIDES + [intent.ACTION, intent.REFERENCE, intent.IDENTITY, *intent.IDENTITY_CODES.values(), *(x for pair in intent.PAIRS.values() for x in pair)]
+    sought = Patterns()
+    numbers = [sought.pattern(p) for p in patterns]
+    own, phrase = sought.own(r"(?:mountain){e<=1}"), sought.phrase("doanythingnow")
+    scanner, r = Scanner(sought.numbers, 1.0), random.Random(4)
+    cues = [t.casefold() for t, _ in BLOCKED] + [t.casefold() for t in ALLOWED] + ["our provıded report", "list the chart", "d0 anyth1ng-n0w!", "a mountein path"]
+    for _ in range(300):
+        text = " ".join(r.sample(cues, r.randint(0, 3)))
+        plain = {n for n, p in zip(numbers, patterns) if regex.search(p, text, regex.I)}
+        plain |= ({own} if "mount" in text else set()) | ({phrase} if "d0 anyth1ng" in text else set())
+        assert scanner.find(text) == sorted(plain), text
