@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..policies import LABELS, UNAVAILABLE
+from .thresholds import best_choice, candidates, frontier, nth_largest, promising
 
 BLOCKED = LABELS[1:]
 
@@ -72,8 +73,8 @@ def single_threshold(scored: DataFrame, rate: float, *, label: str = "label") ->
     """The bar just above the allowed rows' tail: the element after the budget, in falling order; at least .5, at most 1."""
     won = winners(scored).where(F.col(label) == "allowed")
     budget = math.floor(won.count() * rate)
-    tail = won.where("best > allowed").orderBy(F.desc("best")).offset(budget).limit(1).select("best").collect()
-    return min(1.0, max(0.5, tail[0][0] + 1e-6 if tail else 0.5))
+    tail = nth_largest(won.where("best > allowed"), "best", budget)
+    return min(1.0, max(0.5, 0.5 if tail is None else tail + 1e-6))
 
 
 def calibrated_metrics(scored: DataFrame, threshold, *, label: str = "label", scores: str = "scores") -> DataFrame:
@@ -88,38 +89,23 @@ def calibrated_metrics(scored: DataFrame, threshold, *, label: str = "label", sc
 
 def class_candidates(scored: DataFrame, budget: int, floor: float = 0.9, *, label: str = "label") -> DataFrame:
     """For each winner and false-positive cost within budget, the most true positives and the score that has them."""
-    won = winners(scored).where((F.col("best") > F.col("allowed")) & (F.col("best") > floor))
-    tied = won.groupBy("winner", "best").agg(F.sum((F.col(label) == F.col("winner")).cast("long")).alias("t"), F.sum((F.col(label) == "allowed").cast("long")).alias("f"))
-    running = Window.partitionBy("winner").orderBy(F.desc("best")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = tied.select("winner", "best", F.sum("t").over(running).alias("tp"), F.sum("f").over(running).alias("fp")).where(F.col("fp") <= budget)
-    # of equal costs the highest true positives win, and of those the highest score
-    return summed.groupBy("winner", "fp").agg(F.max(F.struct("tp", "best")).alias("m")).select("winner", "fp", F.col("m.tp").alias("tp"), F.col("m.best").alias("score"))
+    return candidates(winners(scored).where((F.col("best") > F.col("allowed")) & (F.col("best") > floor)), budget, label)
 
 
 def class_thresholds(scored: DataFrame, rate: float, floor: float = 0.9, *, label: str = "label") -> dict[str, float]:
     """A bar for each blocked label that has the best mean recall within a shared budget of false blocks.
 
-    The candidates are aggregated by Spark; the knapsack over six labels runs on them on the driver (at most
-    budget + 1 candidates a label).
+    The candidates that may matter are found by Spark (see thresholds); merging them runs on the driver.
     """
-    sizes = {r[0]: r[1] for r in scored.groupBy(label).count().collect()}
+    sizes = {r[0]: r[1] for r in scored.groupBy(label).count().collect() if r[0] is not None}
     budget = math.floor(sizes.get("allowed", 0) * rate)
     options: dict[str, list[tuple[int, float, float]]] = {b: [(0, 0.0, 1.0)] for b in BLOCKED}
-    for r in class_candidates(scored, budget, floor, label=label).collect():
-        gain = r["tp"] / max(sizes.get(r["winner"], 0), 1)
+    front = frontier(class_candidates(scored, budget, floor, label=label))
+    for r in promising(front, {b: sizes.get(b, 0) for b in BLOCKED}, budget).collect():
         bar = math.nextafter(r["score"], -math.inf)
-        if r["fp"] or gain > 0:
-            options[r["winner"]] = [o for o in options[r["winner"]] if o[0] != r["fp"]] + [(r["fp"], gain, bar)]
-    best: dict[int, tuple[float, dict[str, float]]] = {0: (0.0, {})}
-    for name in BLOCKED:
-        after: dict[int, tuple[float, dict[str, float]]] = {}
-        for cost, gain, bar in sorted(options[name]):
-            for spent, (value, bars) in sorted(best.items()):
-                total = spent + cost
-                if total <= budget and (total not in after or value + gain > after[total][0]):
-                    after[total] = (value + gain, {**bars, name: bar})
-        best = after
-    return min(best.items(), key=lambda kv: (-kv[1][0], kv[0]))[1][1]
+        if r["gain"] > 0:
+            options[r["winner"]] = [o for o in options[r["winner"]] if o[0] != r["fp"]] + [(r["fp"], r["gain"], bar)]
+    return best_choice(options, budget)
 
 
 def argmax_metrics(scored: DataFrame, *, label: str = "label", scores: str = "scores") -> DataFrame:

@@ -288,6 +288,7 @@ def leakage_check(spark, sf_dir):
 
 
 def _scores(spark, sf_dir) -> DataFrame:
+    """Scores of seven classes as a stand-in for a classifier's: the first seven dimensions of an embedding, summing to 1."""
     size = F.transform(F.slice("embedding", 1, 7), lambda x: F.abs(x.cast("double")))
     total = F.aggregate(size, F.lit(0.0), lambda a, x: a + x)
     name = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("label") % 7 + 1).cast("int"))
@@ -311,7 +312,7 @@ def class_candidates(spark, sf_dir):
 
 def class_thresholds(spark, sf_dir):
     bars = evaluate.class_thresholds(_scores(spark, sf_dir), 0.05, floor=0.2)
-    return spark.createDataFrame(sorted(bars.items()), "label string, threshold double")
+    return spark.createDataFrame(sorted(bars.items()), "label string, threshold double").withColumn("threshold", F.round("threshold", 6))
 
 
 def argmax_metrics(spark, sf_dir):

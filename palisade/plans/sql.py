@@ -117,6 +117,27 @@ _SCORES = (
     "scored AS (SELECT vec_id, label, list_transform(s, lambda x: x / (s[1] + s[2] + s[3] + s[4] + s[5] + s[6] + s[7])) AS s FROM sized), "
     f"won AS (SELECT *, s[1] AS allowed, list_max(s[2:7]) AS best, {LABELS[1:]!r}[list_position(s[2:7], list_max(s[2:7]))] AS winner FROM scored)"
 )
+
+
+def _knapsack(rate: float, floor: float) -> str:
+    """The bars of class_thresholds: one step a label, each keeping the best value of a total cost."""
+    steps = ["s0 AS (SELECT 0::BIGINT AS total, 0::DOUBLE AS value, []::DOUBLE[] AS bars)"]
+    for i, name in enumerate(LABELS[1:], 1):
+        steps.append(
+            f"s{i} AS (SELECT s.total + o.cost AS total, s.value + o.gain AS value, list_append(s.bars, o.bar) AS bars FROM s{i - 1} s JOIN options o ON o.winner = '{name}' "
+            "WHERE s.total + o.cost <= (SELECT b FROM budget) QUALIFY row_number() OVER (PARTITION BY s.total + o.cost ORDER BY s.value + o.gain DESC, o.cost) = 1)"
+        )
+    return (
+        f"{_SCORES}, budget AS (SELECT floor(count(*) * {rate}::DOUBLE)::BIGINT AS b FROM won WHERE label = 'allowed'), sizes AS (SELECT label AS winner, count(*) AS n FROM won GROUP BY label), "
+        f"tied AS (SELECT winner, best, sum((label = winner)::INT) AS t, sum((label = 'allowed')::INT) AS f FROM won WHERE best > allowed AND best > {floor} GROUP BY ALL), "
+        "summed AS (SELECT winner, best, sum(t) OVER w AS tp, sum(f) OVER w AS fp FROM tied WINDOW w AS (PARTITION BY winner ORDER BY best DESC ROWS UNBOUNDED PRECEDING)), "
+        "found AS (SELECT winner, fp::BIGINT AS cost, max(tp)::DOUBLE / greatest(coalesce(any_value(n), 0), 1) AS gain, arg_max(best, (tp, best)) AS bar FROM summed LEFT JOIN sizes USING (winner) GROUP BY winner, fp), "
+        f"options AS (SELECT * FROM found WHERE cost > 0 OR gain > 0 UNION ALL SELECT x, 0, 0, 1 FROM (SELECT unnest({LABELS[1:]!r}) AS x) WHERE x NOT IN (SELECT winner FROM found WHERE cost = 0 AND gain > 0)), "
+        + ", ".join(steps)
+        + f", top AS (SELECT bars FROM s{len(LABELS) - 1} ORDER BY value DESC, total LIMIT 1) SELECT unnest({LABELS[1:]!r}) AS label, round(unnest(bars), 6) AS threshold FROM top"
+    )
+
+
 _TURNS = judged("(SELECT concat_ws('-', conv_id, turn) AS request_id, text FROM conversations WHERE octet_length(encode(text)) <= 70000 AND length(text) <= 16000 AND regexp_matches(text, '\\S'))", "request_id", "text")
 
 
@@ -174,6 +195,7 @@ SQL = {
     "class_candidates": f"{_SCORES}, tied AS (SELECT winner, best, sum((label = winner)::INT) AS t, sum((label = 'allowed')::INT) AS f FROM won WHERE best > allowed AND best > 0.2 GROUP BY ALL), "
     "summed AS (SELECT winner, best, sum(t) OVER w AS tp, sum(f) OVER w AS fp FROM tied WINDOW w AS (PARTITION BY winner ORDER BY best DESC ROWS UNBOUNDED PRECEDING)) "
     "SELECT winner, fp::BIGINT AS fp, max(tp)::BIGINT AS tp, round(arg_max(best, (tp, best)), 6) AS score FROM summed WHERE fp <= 3 GROUP BY winner, fp",
+    "class_thresholds": _knapsack(0.05, 0.2),
     "argmax_metrics": f"{_SCORES}, g AS (SELECT label, ({LABELS!r}[list_position(s, list_max(s))] = label)::INT AS hit FROM won) SELECT label, count(*) AS rows, round(sum(hit) / count(*), 6) AS recall FROM g GROUP BY ROLLUP (label)",
     "confusion": f"{_TRUTH}, n AS (SELECT count(*) FILTER (blocked AND toxic = 1) AS caught, count(*) FILTER (NOT blocked AND toxic = 1) AS missed, count(*) FILTER (blocked AND toxic = 0) AS false_blocks, count(*) FILTER (NOT blocked AND toxic = 0) AS passed FROM truth) "
     "SELECT *, round(false_blocks / greatest(false_blocks + passed, 1), 6) AS allowed_false_block_rate, round(caught / greatest(caught + missed, 1), 6) AS blocked_recall FROM n",
