@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +26,43 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "palisa
     )
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; where it names none (tests), to a fresh local one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='palisade-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+#: The folders of the staged frames that are still referred to.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged frames that nothing will read again."""
+    for df in frames:
+        path = _FOLDERS.pop(df, None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
