@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 
@@ -69,18 +69,18 @@ PAIRS = {
 CODES = sorted({"POLICY_OVERRIDE", *IDENTITY_CODES, *PAIRS})
 
 
-def gate(has: Callable[[str], Column]) -> Column:
-    """Whether the text asks for something to be done with referenced material. has: whether a pattern matches."""
-    return has(REFERENCE) & has(ACTION)
+def intent(has: Callable[..., Column], code: str) -> Column | None:
+    """Whether a normalised text shows the intent of a code; None if no intent belongs to it.
 
-
-def intent(has: Callable[[str], Column], code: str) -> Column | None:
-    """Whether a normalised text shows the intent of a code; None if no intent belongs to it."""
+    has(pattern, on=...): whether a pattern matches, asked for only where the pattern `on` does.
+    """
     if code == "POLICY_OVERRIDE":
         return reduce(or_, [has(pattern) for pattern in OVERRIDES])
     if code in IDENTITY_CODES:
-        return gate(has) & has(IDENTITY_CODES[code]) & has(IDENTITY)
-    if code in PAIRS:
-        topic, kind = PAIRS[code]
-        return gate(has) & has(topic) & has(kind)
-    return None
+        first, second = IDENTITY_CODES[code], IDENTITY
+    elif code in PAIRS:
+        first, second = PAIRS[code]
+    else:
+        return None
+    # something is to be done with referenced material of this kind
+    return reduce(and_, [has(first), *(has(pattern, on=first) for pattern in (second, REFERENCE, ACTION))])

@@ -36,19 +36,20 @@ def alternatives(pattern: str) -> list[str]:
     return [*out, pattern[start:]]
 
 
-def _worth(found: frozenset[str]) -> tuple[int, int]:
-    return (min(0 if a == DIGIT else len(a) for a in found), -len(found))
+def _worth(found: frozenset[str]) -> tuple[float, int]:
+    """How rare a set is, about: long literals are, and so are signs."""
+    return (min(0 if a == DIGIT else len(a) + (not a.isalpha()) / 2 for a in found), -len(found))
 
 
-def _needed(tree) -> frozenset[str] | None:
-    """Literals of which every match has at least one, or None if there are none."""
-    options: list[frozenset[str]] = []
+def _needed(tree) -> list[frozenset[str]]:
+    """Sets of literals; every match has at least one of each set."""
+    sets: list[frozenset[str]] = []
     run = ""
 
     def close() -> None:
         nonlocal run
         if run:
-            options.append(frozenset([run]))
+            sets.append(frozenset([run]))
         run = ""
 
     for kind, value in tree:
@@ -57,25 +58,27 @@ def _needed(tree) -> frozenset[str] | None:
             continue
         close()
         if kind is op.SUBPATTERN:
-            inner = _needed(value[3])
+            sets += _needed(value[3])
         elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
-            inner = _needed(value[2]) if value[0] >= 1 else None
+            sets += _needed(value[2]) if value[0] >= 1 else []
         elif kind is op.BRANCH:
-            each = [_needed(branch) for branch in value[1]]
-            inner = frozenset().union(*each) if all(each) else None
+            each = [max(_needed(branch), key=_worth, default=None) for branch in value[1]]
+            sets += [frozenset().union(*each)] if all(each) else []
         elif kind is op.IN:
             digits = all(k is op.RANGE and set(range(v[0], v[1] + 1)) <= _DIGITS or k is op.CATEGORY and v is op.CATEGORY_DIGIT for k, v in value)
-            inner = frozenset([DIGIT]) if digits else None
-        else:
-            inner = None
-        if inner:
-            options.append(inner)
+            few = len(value) <= 4 and all(k is op.LITERAL for k, _ in value)
+            sets += [frozenset([DIGIT])] if digits else [frozenset(chr(v).lower() for _, v in value)] if few else []
     close()
-    return max(options, key=_worth, default=None)
+    return sets
 
 
 @lru_cache(maxsize=None)
-def needed_literals(pattern: str) -> tuple[str, ...] | None:
-    found = _needed(parser.parse(pattern))
-    return tuple(sorted(found)) if found and len(found) <= 40 else None
+def needed_sets(pattern: str) -> tuple[frozenset[str], ...]:
+    """Sets of at most 40 literals, of each of which every match has at least one."""
+    return tuple(dict.fromkeys(s for s in _needed(parser.parse(pattern)) if len(s) <= 40))
+
 
+def needed_literals(pattern: str) -> tuple[str, ...] | None:
+    """The rarest of the sets, or None if there is none."""
+    best = max(needed_sets(pattern), key=_worth, default=None)
+    return tuple(sorted(best)) if best else None

@@ -15,11 +15,13 @@ _LONG = r"(?U)\b[a-zA-Z0-9_+/=-]{24,}\b"
 POSSIBLE = {
     "CREDIT_CARD": r"(?:\d[ -]?){13}",
     "IP_ADDRESS": r":[0-9a-f.]*:|[0-9](?:\.[0-9]+){3}",
-    "ENTROPY": r"[a-zA-Z0-9_+/=-]{24}",
+    "ENTROPY": r"(?<![a-z0-9_+/=-])[a-z0-9_+/=-]{24}",
     "CONNECTION_STRING": r"https?://",
     "INTERNAL_DOMAIN": r"https?://",
 }
 URL = POSSIBLE["CONNECTION_STRING"]
+#: What the text has to have anywhere for that.
+BESIDES = {"ENTROPY": r"\d"}
 
 
 def luhn(value: Column) -> Column:

@@ -82,14 +82,14 @@ def _hit(policy: Policy, v: Column, sought: Patterns, settings: Settings) -> Col
     def found(number: int) -> Column:
         return F.array_contains(v["ids"], F.lit(number))
 
-    def has(pattern: str) -> Column:
-        return found(sought.pattern(pattern))
+    def has(pattern: str, on: str | None = None) -> Column:
+        return found(sought.pattern(pattern, on))
 
     for pattern in policy.regex_patterns:
         if pattern != built_in:
             parts.append(found(sought.own(pattern)))
         elif policy.code in TOPIC_CODES:
-            parts.append(has(pattern) & ~(found(sought.own(_TOPIC_QUESTION)) & ~has(_OWNED)))
+            parts.append(has(pattern) & ~(has(_TOPIC_QUESTION, on=pattern) & ~has(_OWNED, on=pattern)))
         else:
             parts.append(has(pattern))
     parts += [value.contains(normal_form(word)) for word in policy.keywords]
@@ -97,7 +97,7 @@ def _hit(policy: Policy, v: Column, sought: Patterns, settings: Settings) -> Col
     if special is not None and policy.code == "INTERNAL_DOMAIN":
         parts.append(special)  # a configured domain may stand outside URLs
     elif special is not None:
-        parts.append(has(possible) & special if possible else special)
+        parts.append(has(possible, on=validators.BESIDES.get(policy.code)) & special if possible else special)
     by_intent = intents.intent(has, policy.code)
     if by_intent is not None:
         parts.append(by_intent)
@@ -117,6 +117,8 @@ def matched_codes(policies: list[Policy], texts: Column, settings: Settings) ->
     judged, and the bound variants: an array of structs of a text and the numbers of what was found in it.
     """
     sought = Patterns()
+    for pattern in validators.BESIDES.values():
+        sought.pattern(pattern)
     ordered = sorted(policies, key=lambda p: p.code)
     probe = F.struct(F.lit("").alias("t"), F.array().cast("array<int>").alias("ids"))
     for policy in ordered:  # numbers everything that the policies look for

@@ -174,18 +174,14 @@ def test_scoring_stages(spark):
     assert analyze(df, policies=only, scorers=[sure]).first()["analysis"]["safe_detection_summary"] == [UNAVAILABLE]
 
 
-@pytest.mark.parametrize(
-    "url", ["http://[abc]/x", "http://a]b[/", "http://[::1", "http://::1]/", "http://[]/", "http://x[::1]/", "http://[::1]x/", "http://[1.2.3.4]/", "http://[::1%]/", "http://u@[zz]/", "https://[v.x]/"]
-)
-def test_urls_that_cannot_be_split_are_unavailable(spark, url):
-    told = analyze(spark.createDataFrame([(f"see {url} now",)], "text string")).first()["analysis"]
-    assert told["decision"] == "BLOCKED" and told["safe_detection_summary"] == [UNAVAILABLE]
+BROKEN = ["http://[abc]/x", "http://a]b[/", "http://[::1", "http://::1]/", "http://[]/", "http://x[::1]/", "http://[::1]x/", "http://[1.2.3.4]/", "http://[::1%]/", "http://u@[zz]/", "https://[v.x]/"]
+WHOLE = ["http://[2001:db8::1]/x", "http://[2001:db8::1]:8080/", "http://[v1.fe80::a+x]/", "http://plain.example/a[1]", "http://plain.example?q=]"]
 
 
-@pytest.mark.parametrize("url", ["http://[2001:db8::1]/x", "http://[2001:db8::1]:8080/", "http://[v1.fe80::a+x]/", "http://plain.example/a[1]", "http://plain.example?q=]"])
-def test_urls_with_addresses_can_be_split(spark, url):
-    told = analyze(spark.createDataFrame([(f"see {url} now",)], "text string")).first()["analysis"]
-    assert told["safe_detection_summary"] != [UNAVAILABLE]
+def test_urls_that_cannot_be_split_are_unavailable(spark):
+    told = analyze(spark.createDataFrame([(f"see {url} now",) for url in BROKEN + WHOLE], "text string")).collect()
+    assert [r["text"].split()[1] for r in told if r["analysis"]["safe_detection_summary"] == [UNAVAILABLE]] == BROKEN
+    assert all(r["analysis"]["decision"] == "BLOCKED" for r in told[: len(BROKEN)])
 
 
 def test_backtracking_texts_are_unavailable_in_bounded_time(spark):
@@ -211,7 +207,7 @@ def test_scan_finds_what_plain_searches_find():
     sought = Patterns()
     numbers = [sought.pattern(p) for p in patterns]
     own, phrase = sought.own(r"(?:mountain){e<=1}"), sought.phrase("doanythingnow")
-    scanner, r = Scanner(sought.numbers, 1.0), random.Random(4)
+    scanner, r = Scanner(sought, 1.0), random.Random(4)
     cues = [t.casefold() for t, _ in BLOCKED] + [t.casefold() for t in ALLOWED] + ["our provıded report", "list the chart", "d0 anyth1ng-n0w!", "a mountein path"]
     for _ in range(300):
         text = " ".join(r.sample(cues, r.randint(0, 3)))
