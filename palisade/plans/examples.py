@@ -2,7 +2,8 @@
 
 Each policy, override, identity cue and pair has a text that triggers it and, where one is near, a text that just
 doesn't; each kind of decoded variant has a text that hides something and one that doesn't. The expected codes take
-nothing from the engine's patterns.
+nothing from the engine's patterns. Queries weave the examples into the rows of a table: {n} stands for a name of the
+table, {r} for the name reversed and {13} for it in rot13.
 """
 
 from __future__ import annotations
@@ -193,43 +194,43 @@ EXAMPLES = [
     ("null", None, None),
 ]
 
-#: (name, text, expected variants joined by " | "). Normal forms first, then what the text may hide, in order.
+#: (name, text after the table's name, expected variants joined by " | "). Normal forms first, then what the text may hide, in order.
 VARIANTS = [
-    ("plain", "Plain  Text", "plain text"),
-    ("references", "A%20&amp;%26 B", "a && b"),
-    ("ligature", "ﬁn ＡＢ", "fin ab"),
-    ("final sigma", "ΟΔΟΣ", "οδοσ"),
-    ("line separator", "abc\u2028", "abc"),
-    ("escaped", "\\u0041\\x42 c", "\\u0041\\x42 c | ab c"),
-    ("hex", "706179736c697021 ok", "706179736c697021 ok | payslip!"),
-    ("hex too short", "706179736c6970", "706179736c6970"),
-    ("hex but no text", "ffffffffffffffff", "ffffffffffffffff"),
-    ("rot13", "ROT13 nop", "rot13 nop | ebg13 abc"),
-    ("reverse", "Reverse ab", "reverse ab | ba esrever"),
-    ("spaced", "a.b c-d e", "a.b c-d e | abcde"),
-    ("base64", "bXkgcGF5c2xpcCBteSBwYXlzbGlw", "bxkgcgf5c2xpccbtesbwyxlzbglw | my payslip my payslip"),
-    ("several", "reverse 706179736c697021", "reverse 706179736c697021 | payslip! | 120796c637971607 esrever"),
-    ("empty", "", ""),
+    ("plain", "Plain  Text", "{n} plain text"),
+    ("references", "A%20&amp;%26 B", "{n} a && b"),
+    ("ligature", "ﬁn ＡＢ", "{n} fin ab"),
+    ("final sigma", "ΟΔΟΣ", "{n} οδοσ"),
+    ("line separator", "abc\u2028", "{n} abc"),
+    ("escaped", "\\u0041\\x42 c", "{n} \\u0041\\x42 c | {n} ab c"),
+    ("hex", "706179736c697021 ok", "{n} 706179736c697021 ok | payslip!"),
+    ("hex too short", "706179736c6970", "{n} 706179736c6970"),
+    ("hex but no text", "ffffffffffffffff", "{n} ffffffffffffffff"),
+    ("rot13", "ROT13 nop", "{n} rot13 nop | {13} ebg13 abc"),
+    ("reverse", "Reverse ab", "{n} reverse ab | ba esrever {r}"),
+    ("spaced", "a.b c-d e", "{n} a.b c-d e | {n} abcde"),
+    ("base64", "bXkgcGF5c2xpcCBteSBwYXlzbGlw", "{n} bxkgcgf5c2xpccbtesbwyxlzbglw | my payslip my payslip"),
+    ("several", "reverse 706179736c697021", "{n} reverse 706179736c697021 | payslip! | 120796c637971607 esrever {r}"),
+    ("empty", "", "{n}"),
     ("null", None, None),
 ]
 
 #: (name, source, raw row, expected text, label and error).
 RAW_ROWS = [
-    ("tokens", "x", '{"tokens": ["a", "b"], "label": "safe"}', "a b", "allowed", None),
-    ("messages", "x", '{"messages": [{"role": "user", "content": "hi"}, {"content": "yo"}], "label": "1"}', "hi\nyo", "blocked_prompt_injection", None),
-    ("turns", "x", '{"turns": [{"user": "u", "assistant": "v"}], "is_injection": true}', "u\nv", "blocked_prompt_injection", None),
-    ("text before prompt", "x", '{"prompt": "p", "text": "t", "label": 0}', "t", "allowed", None),
-    ("blank text", "x", '{"text": "  ", "prompt": "p", "label": "benign"}', "p", "allowed", None),
-    ("own label", "x", '{"text": "t", "label": "blocked_pii"}', "t", "blocked_pii", None),
-    ("category", "x", '{"text": "t", "label": "malicious", "category": "jailbreak"}', "t", "blocked_jailbreak", None),
-    ("attack type", "x", '{"text": "t", "attack_type": "jailbreak"}', "t", "blocked_jailbreak", None),
-    ("null label hides the next", "x", '{"text": "t", "label": null, "is_injection": 1}', None, None, None),
-    ("outside tags", "kiji", '{"text": "t", "ner_tags": ["O", "O"]}', "t", "allowed", None),
-    ("tags", "kiji", '{"text": "t", "entities": ["O", "B-NAME"]}', "t", "blocked_pii", None),
-    ("no tags", "nemotron", '{"text": "t", "entities": []}', "t", "allowed", None),
-    ("number tags", "kiji", '{"text": "t", "ner_tags": [0, 1]}', None, None, None),
-    ("tags as a literal", "kiji", """{"text": "t", "spans": "['O']"}""", "t", "allowed", None),
-    ("unmapped", "x", '{"text": "t", "label": "maybe"}', None, None, None),
+    ("tokens", "x", '{"tokens": ["{n}", "b"], "label": "safe"}', "{n} b", "allowed", None),
+    ("messages", "x", '{"messages": [{"role": "user", "content": "{n}"}, {"content": "yo"}], "label": "1"}', "{n}\nyo", "blocked_prompt_injection", None),
+    ("turns", "x", '{"turns": [{"user": "{n}", "assistant": "v"}], "is_injection": true}', "{n}\nv", "blocked_prompt_injection", None),
+    ("text before prompt", "x", '{"prompt": "{n} p", "text": "{n} t", "label": 0}', "{n} t", "allowed", None),
+    ("blank text", "x", '{"text": "  ", "prompt": "{n} p", "label": "benign"}', "{n} p", "allowed", None),
+    ("own label", "x", '{"text": "{n} t", "label": "blocked_pii"}', "{n} t", "blocked_pii", None),
+    ("category", "x", '{"text": "{n} t", "label": "malicious", "category": "jailbreak"}', "{n} t", "blocked_jailbreak", None),
+    ("attack type", "x", '{"text": "{n} t", "attack_type": "jailbreak"}', "{n} t", "blocked_jailbreak", None),
+    ("null label hides the next", "x", '{"text": "{n} t", "label": null, "is_injection": 1}', None, None, None),
+    ("outside tags", "kiji", '{"text": "{n} t", "ner_tags": ["O", "O"]}', "{n} t", "allowed", None),
+    ("tags", "kiji", '{"text": "{n} t", "entities": ["O", "B-NAME"]}', "{n} t", "blocked_pii", None),
+    ("no tags", "nemotron", '{"text": "{n} t", "entities": []}', "{n} t", "allowed", None),
+    ("number tags", "kiji", '{"text": "{n} t", "ner_tags": [0, 1]}', None, None, None),
+    ("tags as a literal", "kiji", """{"text": "{n} t", "spans": "['O']"}""", "{n} t", "allowed", None),
+    ("unmapped", "x", '{"text": "{n} t", "label": "maybe"}', None, None, None),
     ("no text", "x", '{"label": "safe"}', None, None, None),
     ("malformed", "x", "{", None, None, "malformed JSON"),
     ("null", "x", None, None, None, "no record"),
@@ -249,20 +250,40 @@ def _q(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-_CASES = ", ".join(f"({_q(n)}, {_q(codes)})" for n, _, codes in EXAMPLES)
+def is_whole(name: str) -> bool:
+    """Whether an example stands alone: questions begin and end with it."""
+    return "question" in name
+
+
+def _cases(*rows: str) -> str:
+    """Numbered SQL rows."""
+    return ", ".join(f"({i}, {row})" for i, row in enumerate(rows))
+
+
+_CASES = _cases(*(f"{_q(n)}, {_q(codes)}" for n, _, codes in EXAMPLES))
 _RULES = ", ".join(f"({_q(code)}, {_q(reason)})" for reason, codes in CATEGORIES.items() for code in codes.split())
 
-POLICY_EXAMPLES = f"""
-WITH cases(name, codes) AS (VALUES {_CASES}), rules(code, reason) AS (VALUES {_RULES}),
+POLICY_CUES = f"""
+WITH cases(i, name, codes) AS (VALUES {_CASES}), rules(code, reason) AS (VALUES {_RULES}),
 hit AS (SELECT name, reason FROM cases, LATERAL (SELECT unnest(string_split(codes, ',')) AS code) JOIN rules USING (code)),
 told AS (SELECT name, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons,
   bool_or(reason NOT IN ('Personal data detected', 'Internal confidential information detected')) AS critical FROM hit GROUP BY name)
-SELECT name, CASE WHEN codes = '' THEN 'ALLOWED' ELSE 'BLOCKED' END AS decision,
+SELECT p_partkey, name, CASE WHEN codes = '' THEN 'ALLOWED' ELSE 'BLOCKED' END AS decision,
   CASE WHEN codes IS NULL OR critical THEN 'critical' WHEN codes <> '' THEN 'high' END AS highest_severity, coalesce(codes, '') AS codes,
   CASE WHEN codes IS NULL THEN 'Security validation unavailable' ELSE coalesce(reasons, '') END AS reasons
-FROM cases LEFT JOIN told USING (name)
+FROM part JOIN cases ON i = p_partkey % {len(EXAMPLES)} LEFT JOIN told USING (name)
 """
 
-POLICY_VARIANTS = "SELECT * FROM (VALUES " + ", ".join(f"({_q(n)}, {_q(v)})" for n, _, v in VARIANTS) + ") v(name, variants)"
 
-ADAPTED_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({_q(n)}, {_q(t)}, {_q(label)}, {_q(error)})" for n, _, _, t, label, error in RAW_ROWS) + ") v(name, text, label, error)"
+def _woven(column: str) -> str:
+    return (
+        f"replace(replace(replace({column}, '{{n}}', p_name), '{{r}}', reverse(p_name)), '{{13}}', "
+        "translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm'))"
+    )
+
+
+_FORMS = _cases(*(f"{_q(n)}, {_q(v)}" for n, _, v in VARIANTS))
+VARIANT_CUES = f"WITH cases(i, name, v) AS (VALUES {_FORMS}) SELECT p_partkey, name, {_woven('v')} AS variants FROM part JOIN cases ON i = p_partkey % {len(VARIANTS)}"
+
+_ADAPTED = _cases(*(f"{_q(n)}, {_q(t)}, {_q(label)}, {_q(error)}" for n, _, _, t, label, error in RAW_ROWS))
+ADAPTED_CUES = f"WITH cases(i, name, t, label, error) AS (VALUES {_ADAPTED}) SELECT p_partkey, name, {_woven('t')} AS text, label, error FROM part JOIN cases ON i = p_partkey % {len(RAW_ROWS)}"

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import compact, folded_digest, normalize, prompt_hash, variants
 from ..functions.validators import entropy, luhn
 from ..operators import chunks, evaluate, gateway, prepare
 from ..operators.decide import analyze, analyze_distinct, is_topic_question
+from ..operators.masking import mask, pattern_finder
 from ..operators.scoring import classifier, entities, guard
 from ..policies import LABELS, Policy, policy_frame, seed
 from ..session import shared_checkpoints, spread
 from ..sources import readers
-from ..sources.readers import synthetic_examples
-from .examples import EXAMPLES, RAW_ROWS, VARIANTS
+from .examples import EXAMPLES, RAW_ROWS, VARIANTS, is_whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,15 +84,25 @@ def reason_counts(spark, sf_dir):
     return _judged(spark, sf_dir).select(F.explode("analysis.safe_detection_summary").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def policy_examples(spark, sf_dir):
-    """Decisions over example prompts for every policy, intent and kind of variant."""
-    told = analyze(spark.createDataFrame([(n, t) for n, t, _ in EXAMPLES], "name string, text string")).select("name", "analysis.*")
-    return told.select("name", "decision", "highest_severity", F.array_join("matched_policy_codes", ",").alias("codes"), F.array_join("safe_detection_summary", "; ").alias("reasons"))
+def _case(values: list[str | None]) -> Column:
+    """The value whose number is the part's key modulo their count."""
+    listed = F.array(*[F.lit(v).cast("string") for v in values])
+    return F.element_at(listed, (F.col("p_partkey") % len(values) + 1).cast("int"))
 
 
-def variant_examples(spark, sf_dir):
-    rows = spark.createDataFrame([(n, t) for n, t, _ in VARIANTS], "name string, text string")
-    return rows.select("name", F.array_join(variants(F.col("text")), " | ").alias("variants"))
+def policy_cues(spark, sf_dir):
+    """Decisions over the names of parts with a cue for a policy, an intent or a kind of variant after each."""
+    cue = F.struct(_case([n for n, _, _ in EXAMPLES]).alias("name"), _case([t for _, t, _ in EXAMPLES]).alias("cue"), _case(["yes" if is_whole(n) else "" for n, _, _ in EXAMPLES]).alias("whole"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", "p_name", cue.alias("c"))
+    asked = parts.select("p_partkey", "c.name", F.when(F.col("c.whole") == "yes", F.col("c.cue")).otherwise(F.concat("p_name", F.lit(" "), F.col("c.cue"))).alias("text"))
+    told = analyze(asked).select("p_partkey", "name", "analysis.*")
+    return told.select("p_partkey", "name", "decision", "highest_severity", F.array_join("matched_policy_codes", ",").alias("codes"), F.array_join("safe_detection_summary", "; ").alias("reasons"))
+
+
+def variant_cues(spark, sf_dir):
+    """The variants of names of parts with something hidden after each."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", _case([n for n, _, _ in VARIANTS]).alias("name"), F.concat("p_name", F.lit(" "), _case([t for _, t, _ in VARIANTS])).alias("text"))
+    return parts.select("p_partkey", "name", F.array_join(variants(F.col("text")), " | ").alias("variants"))
 
 
 def own_policies(spark, sf_dir):
@@ -128,11 +138,12 @@ def model_stages(spark, sf_dir):
     return told.select("p_partkey", "decision", "highest_severity", F.array_join("matched_policy_codes", ",").alias("codes"))
 
 
-def adapted_rows(spark, sf_dir):
-    """Text, label and error of raw rows of every shape."""
-    raw = spark.createDataFrame([(n, s, row) for n, s, row, *_ in RAW_ROWS], "file string, source string, row string")
-    found = prepare.adapt(raw.select("source", "file", F.lit("train").alias("original_split"), F.lit(0).cast("long").alias("ordinal"), "row"))
-    return found.select(F.col("file").alias("name"), "text", "label", "error")
+def adapted_cues(spark, sf_dir):
+    """Text, label and error of raw rows of every shape, each with the name of a part in its text."""
+    pick = lambda at: _case([row[at] for row in RAW_ROWS])
+    raw = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("file"), pick(1).alias("source"), F.replace(pick(2), F.lit("{n}"), F.col("p_name")).alias("row"))
+    found = prepare.adapt(raw.select("source", "file", F.lit("train").alias("original_split"), F.col("p_partkey").alias("ordinal"), "row"))
+    return found.select(F.col("ordinal").alias("p_partkey"), F.col("file").alias("name"), "text", "label", "error")
 
 
 def file_sources(spark, sf_dir):
@@ -197,16 +208,17 @@ def conversation_inspection(spark, sf_dir):
     return report.select("doc", "decision", "complete", F.col("n_allowed").cast("long").alias("n_allowed"), F.col("n_blocked").cast("long").alias("n_blocked"))
 
 
-def synthetic(spark, sf_dir):
-    return synthetic_examples(spark, 5000)
-
-
 def seed_merge(spark, sf_dir):
-    """Seed a table that holds two changed policies and one with the earlier built-in pattern."""
+    """Seed a policy table that holds one of each part's own, two changed built-in ones and one with the earlier pattern."""
     from ..policies import EARLIER_PATTERNS
 
-    mine = [Policy("EMAIL", "pii", "low", "Mine", enabled=False, regex_patterns=("x@y",)), Policy("PHONE", "pii", "low", "Old", regex_patterns=(EARLIER_PATTERNS["PHONE"],)), Policy("OWN", "pii", "high", "Own", keywords=("k",))]
-    out = seed(policy_frame(spark, mine))
+    mine = [Policy("EMAIL", "pii", "low", "Mine", enabled=False, regex_patterns=("x@y",)), Policy("PHONE", "pii", "low", "Old", regex_patterns=(EARLIER_PATTERNS["PHONE"],))]
+    none, part = F.array().cast("array<string>"), table(spark, sf_dir, "part")
+    own = part.select(
+        F.concat(F.lit("PART_"), "p_partkey").alias("code"), F.col("p_name").alias("name"), F.lit("confidential_data").alias("category"), F.lit("").alias("description"), F.lit("low").alias("severity"),
+        (F.col("p_size") > 10).alias("enabled"), F.array("p_name").alias("keywords"), none.alias("regex_patterns"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    out = seed(policy_frame(spark, mine).unionByName(own))
     return out.select("code", "category", "severity", "enabled", F.array_join("regex_patterns", "").alias("pattern"))
 
 
@@ -362,6 +374,30 @@ def rate_limit(spark, sf_dir):
     return out.select("event_id", "identity", "window_start", F.col("nth").cast("long").alias("nth"), "denied")
 
 
+def rate_limit_stream(spark, sf_dir):
+    """The events as a stream, each decided from keyed state; what the stream has written, read again."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming.limiter import limit_stream, write_decisions
+
+    folder = f"{shared_dir(spark)}/limits-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    # a stream reads folders; a pattern takes a single file, too
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
+    source = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("identity"))
+    write_decisions(limit_stream(source, order="event_id", limit=2, seconds=86_400), f"{folder}/decisions", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{folder}/decisions")
+    return out.select("event_id", "identity", "window_start", F.col("nth").cast("long").alias("nth"), "denied")
+
+
+def masked_documents(spark, sf_dir):
+    """Addresses of mail and of machines masked in every document."""
+    finder = pattern_finder({"EMAIL": r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]+", "IP_ADDRESS": r"[0-9]+(?:\.[0-9]+){3}"})
+    out = mask(spread(_documents(spark, sf_dir).select("doc_id", "text")), finder)
+    return out.select("doc_id", F.length("masked").cast("long").alias("characters"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 def rate_counts(spark, sf_dir):
     return gateway.rate_counts(_requests(spark, sf_dir), limit=2, seconds=86_400)
 
@@ -386,7 +422,8 @@ QUERIES = {
         raw_row_adapter, split_buckets, dedupe_records, group_propagation, provenance_filter, bipia_compose, topk_per_label,
         balanced_sample, leakage_check, single_threshold, calibrated_metrics, class_candidates, class_thresholds,
         argmax_metrics, confusion, eval_by_source, gateway_evaluation, false_block_codes, workbook_metrics, rate_limit,
-        rate_counts, audit_page, audit_rows, policy_examples, variant_examples, own_policies, model_stages, adapted_rows,
+        rate_limit_stream, masked_documents,
+        rate_counts, audit_page, audit_rows, policy_cues, variant_cues, own_policies, model_stages, adapted_cues,
         file_sources, manifest_check, request_gates, identity_hashes,
     )
-} | {"synthetic_examples": synthetic}
+}

@@ -12,8 +12,7 @@ import hashlib
 from ..functions import intent
 from ..operators.decide import _OWNED, _QUESTION, COMPACT_PHRASES
 from ..policies import BUILT_IN, CRITICAL, LABELS, REASONS, TOPIC_CODES
-from ..sources.readers import TEMPLATES
-from .examples import ADAPTED_ROWS, POLICY_EXAMPLES, POLICY_VARIANTS
+from .examples import ADAPTED_CUES, POLICY_CUES, VARIANT_CUES
 
 
 def _q(text: str) -> str:
@@ -166,11 +165,10 @@ SQL = {
     "reason_counts": f"WITH {_DOCS} SELECT reason, count(DISTINCT doc_id) AS n FROM hits GROUP BY reason",
     "chunk_windows": "SELECT doc_id, o AS \"offset\", length(text[o + 1:o + 8000]) AS characters, sha256(text[o + 1:o + 8000]) AS chunk_sha256 FROM (SELECT doc_id, text, unnest(range(0, length(text), 7500)) AS o FROM documents)",
     "cross_turn_text": "SELECT conv_id, length(t) AS characters, sha256(t) AS joined_sha256 FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
-    "synthetic_examples": f"SELECT i, replace({[t for _, t in TEMPLATES]!r}[(i % 7 + 1)::INT], '{{i}}', i::VARCHAR) AS text, {[a for a, _ in TEMPLATES]!r}[(i % 7 + 1)::INT] AS label, 'synthetic_client_policy' AS source, false AS contains_real_secret, 'synthetic-scenario-' || (i // 7)::VARCHAR AS group_id FROM range(5000) r(i)",
     "seed_merge": "WITH seeds(code, category, severity, enabled, pattern) AS (VALUES "
     + ", ".join(f"({_q(c)}, {_q(k)}, {_q('critical' if k in CRITICAL else 'high')}, true, {_q(p)})" for c, k, p in BUILT_IN)
-    + "), mine(code, category, severity, enabled, pattern) AS (VALUES ('EMAIL', 'pii', 'low', false, 'x@y'), ('PHONE', 'pii', 'low', true, (SELECT pattern FROM seeds WHERE code = 'PHONE')), ('OWN', 'pii', 'high', true, '')) "
-    "SELECT * FROM mine UNION ALL SELECT * FROM seeds WHERE code NOT IN (SELECT code FROM mine)",
+    + "), mine(code, category, severity, enabled, pattern) AS (VALUES ('EMAIL', 'pii', 'low', false, 'x@y'), ('PHONE', 'pii', 'low', true, (SELECT pattern FROM seeds WHERE code = 'PHONE'))) "
+    "SELECT 'PART_' || p_partkey::VARCHAR AS code, 'confidential_data' AS category, 'low' AS severity, p_size > 10 AS enabled, '' AS pattern FROM part UNION ALL SELECT * FROM mine UNION ALL SELECT * FROM seeds WHERE code NOT IN (SELECT code FROM mine)",
     "topic_questions": f"SELECT p_partkey, {_topic('q')} AS topic FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'what is our ' WHEN 1 THEN 'what is ' ELSE 'tell me about the ' END || lower(p_type) || '?' AS q FROM part)",
     "label_adapter": f"SELECT {_LABEL} AS label, quality, count(*) AS n FROM labels GROUP BY ALL",
     "raw_row_adapter": f"WITH {_RAW} SELECT doc_id, label, split, group_id, sha256(text) AS text_sha256 FROM raw",
@@ -206,18 +204,21 @@ SQL = {
     "c AS (SELECT count(*) AS n FROM (SELECT h FROM rows_ WHERE e IS NOT NULL GROUP BY h HAVING count(DISTINCT e) > 1)) SELECT count(*) AS rows, count(e) AS labeled, count(*) FILTER (d = e) AS matched, count(*) FILTER (e = 'BLOCKED' AND d = 'ALLOWED') AS false_allowed, "
     "count(*) FILTER (e = 'ALLOWED' AND d = 'BLOCKED') AS false_blocked, 0::BIGINT AS detector_errors, count(DISTINCT h) AS unique_prompts, (SELECT n FROM c) AS conflicting_label_groups, round(count(*) FILTER (d = e) / count(e), 6) AS accuracy FROM rows_",
     "rate_limit": "SELECT event_id, user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER w AS nth, row_number() OVER w > 2 AS denied FROM events WINDOW w AS (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id)",
+    "rate_limit_stream": "SELECT event_id, user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER w AS nth, row_number() OVER w > 2 AS denied FROM events WINDOW w AS (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id)",
+    "masked_documents": r"SELECT doc_id, length(m)::BIGINT AS characters, sha256(m) AS masked_sha256 FROM (SELECT doc_id, "
+    r"regexp_replace(regexp_replace(text, '(?i)[a-z0-9._]+@[a-z0-9.]+\.[a-z]+', '<EMAIL>', 'g'), '[0-9]+(?:\.[0-9]+){3}', '<IP_ADDRESS>', 'g') AS m FROM documents)",
     "rate_counts": "SELECT user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS requests, greatest(count(*) - 2, 0) AS denied FROM events GROUP BY ALL",
     "audit_page": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100",
     "audit_rows": f"WITH {_TURNS} SELECT request_id, sha256(text) AS prompt_hash, {_DECISION} AS decision, coalesce(codes, '') AS codes, false AS forwarded_to_llm FROM result",
-    "policy_examples": POLICY_EXAMPLES,
-    "variant_examples": POLICY_VARIANTS,
+    "policy_cues": POLICY_CUES,
+    "variant_cues": VARIANT_CUES,
     "own_policies": "WITH p AS (SELECT p_partkey, lower(p_name) AS v FROM part), h AS (SELECT p_partkey, contains(v, 'red') OR contains(v, 'anvil') AS word, regexp_matches(v, '^[a-m].*e$') OR regexp_matches(v, '\\bs\\w+\\s+r') AS shape FROM p) "
     "SELECT p_partkey, CASE WHEN word OR shape THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, CASE WHEN shape THEN 'medium' WHEN word THEN 'low' END AS highest_severity, concat_ws(',', CASE WHEN shape THEN 'SHAPE' END, CASE WHEN word THEN 'WORD' END) AS codes, "
     "concat_ws('; ', CASE WHEN word THEN 'Personal data detected' END, CASE WHEN shape THEN 'Prompt injection attempt detected' END) AS reasons FROM h",
     "model_stages": "WITH h AS (SELECT p_partkey, contains(p_name, 'red') AS rule, list_contains(string_split(p_name, ' '), 'gizmo') AS attack, contains(p_name, 'blue') OR length(p_name) % 2 = 0 AS person FROM part) "
     "SELECT p_partkey, CASE WHEN rule OR attack OR person THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, CASE WHEN rule THEN 'high' WHEN attack THEN 'critical' WHEN person THEN 'low' END AS highest_severity, "
     "CASE WHEN rule THEN 'RULE' ELSE concat_ws(',', CASE WHEN attack THEN 'ATTACK' END, CASE WHEN person THEN 'PERSON' END) END AS codes FROM h",
-    "adapted_rows": ADAPTED_ROWS,
+    "adapted_cues": ADAPTED_CUES,
     "file_sources": "WITH c AS (SELECT c_custkey AS key, '\"' || c_name || '\",' || chr(10) || c_mktsegment AS text FROM customer) "
     "SELECT source, 'unspecified' AS original_split, key, text FROM c, (VALUES ('csv'), ('jsonl'), ('parquet')) s(source) UNION ALL SELECT 'json', 'unspecified', n_nationkey, n_name FROM nation",
     "manifest_check": "WITH d AS (SELECT doc_id, 'd/' || doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing file' WHEN doc_id % 3 = 1 THEN 'checksum mismatch' END AS reason FROM documents) SELECT path, reason, reason IS NULL AS ok FROM d",
