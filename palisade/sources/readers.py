@@ -1,17 +1,14 @@
-"""Sources and sinks of raw training rows: CSV, JSON lines, JSON, Parquet, ZIP members, manifests, synthetic rows."""
+"""Sources of raw training rows: CSV, JSON lines, JSON, Parquet, manifests, synthetic rows (ZIP members: archives)."""
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW = "source string, file string, original_split string, ordinal long, row string"
-MAX_MEMBER = 100 * 1024 * 1024
+from .archives import RAW, list_of_records
 
 
 def _raw(rows: DataFrame, source: str, file: str, split: str) -> DataFrame:
@@ -44,7 +41,10 @@ def read_json(spark: SparkSession, path: str, source: str, split: str = "unspeci
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    rows = rows_of(content.as_py(), ".json", strict=True)
+                    value = json.loads(content.as_py().decode("utf-8-sig"))
+                    # an object without a list of records is an error, and so is anything else
+                    listed = isinstance(value, list) or isinstance(value, dict) and any(isinstance(value.get(k), list) for k in ("data", "records", "examples"))
+                    rows = [json.dumps(r) for r in list_of_records(value)] if listed else [None]
                 except (ValueError, RecursionError):
                     rows = [None]
                 file = name.rsplit("/", 1)[-1]
@@ -62,43 +62,6 @@ def read_parquet(spark: SparkSession, path: str, source: str, split: str = "unsp
     return _raw(spark.read.parquet(path), source, path.rsplit("/", 1)[-1], split)
 
 
-def rows_of(blob: bytes, suffix: str, strict: bool = False) -> list[str]:
-    """The records of a file's bytes as JSON texts. strict: a JSON value without a list of records is an error."""
-    import csv
-
-    text = blob.decode("utf-8-sig")
-    if suffix == ".csv":
-        return [json.dumps(r) for r in csv.DictReader(io.StringIO(text, newline=""))]
-    if suffix == ".jsonl":
-        return [line for line in text.split("\n") if line.strip()]
-    value = json.loads(text)
-    if isinstance(value, dict):
-        value = next((value[k] for k in ("data", "records", "examples") if isinstance(value.get(k), list)), None)
-    if strict and (not isinstance(value, list)):
-        raise ValueError("no list of records")
-    return [json.dumps(r) for r in value] if isinstance(value, list) else []
-
-
-def read_zip(spark: SparkSession, path: str, source: str, split: str = "unspecified") -> DataFrame:
-    """Records of the .json, .jsonl and .csv members up to 100 MB. The split is split/member, so a path can hold out."""
-
-    def unpack(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    for item in archive.infolist():
-                        suffix = "." + item.filename.rsplit(".", 1)[-1]
-                        if suffix in (".json", ".jsonl", ".csv") and item.file_size <= MAX_MEMBER:
-                            rows = rows_of(archive.read(item), suffix)
-                            n = len(rows)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([source] * n), pa.array([item.filename] * n), pa.array([f"{split}/{item.filename}"] * n), pa.array(range(n), pa.int64()), pa.array(rows, pa.string())],
-                                names=["source", "file", "original_split", "ordinal", "row"],
-                            )
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, RAW)
-
-
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """files: path (relative), content. manifest: path, split, sha256. Adds ok and reason for each manifest entry.
 
@@ -112,6 +75,21 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
+def manifest_notes(folders: DataFrame) -> DataFrame:
+    """folders: source and manifest (its JSON text, null where it's missing). One note for each folder that needs one.
+
+    Kinds: "skipped" for a download that isn't complete (its files are still read), "error" for a missing or unreadable
+    manifest. The synthetic source needs none.
+    """
+    told = folders.where("source <> 'synthetic_client_policy'").withColumn("m", F.from_json("manifest", "status string, files array<struct<path:string,split:string,sha256:string>>", {"mode": "PERMISSIVE"}))
+    note = (
+        F.when(F.col("manifest").isNull(), F.struct(F.lit("error").alias("kind"), F.lit("missing manifest").alias("note")))
+        .when(F.col("m.files").isNull(), F.struct(F.lit("error").alias("kind"), F.lit("unreadable manifest").alias("note")))
+        .when(~F.col("m.status").eqNullSafe(F.lit("complete")), F.struct(F.lit("skipped").alias("kind"), F.lit("download incomplete or gated").alias("note")))
+    )
+    return told.select("source", note.alias("n")).where("n is not null").select("source", "n.kind", "n.note")
+
+
 # The label and the text of each kind of fabricated example.
 TEMPLATES = [
     ("allowed", "Explain how a rainbow forms for a fictional lesson {i}."),
