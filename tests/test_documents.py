@@ -88,3 +88,49 @@ def test_streams(spark, tmp_path):
     assert sorted(r["decision"] for r in spark.read.parquet(str(tmp_path / "audit")).collect()) == ["ALLOWED", "ALLOWED", "BLOCKED"]
     rate_stream(stream(), str(tmp_path / "rate"), str(tmp_path / "c2"), limit=1).awaitTermination(120)
     assert [(r["requests"], r["denied"]) for r in spark.read.parquet(str(tmp_path / "rate")).collect()] == [(2, 1)]
+
+
+def workbook(cells: str, styles: str, properties: str = "") -> bytes:
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    return package(
+        {
+            "xl/workbook.xml": f'<workbook {S} xmlns:r="{rel}">{properties}<sheets><sheet name="x" sheetId="1" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="/xl/s.xml"/></Relationships>',
+            "xl/styles.xml": f"<styleSheet {S}>{styles}</styleSheet>", "xl/s.xml": f'<worksheet {S}><sheetData><row r="1">{cells}</row></sheetData></worksheet>',
+        }
+    )
+
+
+def test_cell_types():
+    from palisade.sources.cells import kind_of
+
+    codes = {164: "yyyy\\-mm\\-dd", 165: "[h]:mm", 166: "[$-409]d/m/yy", 167: '0.00" days"', 168: "[Red]#,##0;d"}
+    fmt = "<numFmts>" + "".join(f'<numFmt numFmtId="{n}" formatCode="{c.replace(chr(34), "&quot;")}"/>' for n, c in codes.items()) + "</numFmts>"
+    styles = fmt + "<cellXfs>" + "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 9, 20, 164, 165, 166, 167, 168, 46)) + "</cellXfs>"
+    values = [("0", "5"), ("0", "5.0"), ("0", "1E3"), ("1", "45292"), ("1", "45292.5"), ("1", "1"), ("1", "59"), ("1", "61"), ("2", "0.25"), ("3", "0.5"), ("4", "36526"), ("5", "1.5"), ("6", "0.75"), ("7", "3"), ("8", "4"), ("9", "2"), ("1", "99999999"), ("77", "8")]
+    cells = "".join(f'<c s="{s}"><v>{v}</v></c>' for s, v in values) + '<c t="b"><v>1</v></c><c t="e"><v>#DIV/0!</v></c><c t="str"><v>45292</v></c>'
+    got = extract(workbook(cells, styles)).units[0][1].split(" | ")
+    assert got == [
+        "5", "5.0", "1000.0", "2024-01-01 00:00:00", "2024-01-01 12:00:00", "1900-01-01 00:00:00", "1900-02-28 00:00:00", "1900-03-01 00:00:00", "0.25", "12:00:00", "2000-01-01 00:00:00",
+        "1 day, 12:00:00", "18:00:00", "3", "4", "2 days, 0:00:00", "#VALUE!", "8", "True", "#DIV/0!", "45292",
+    ]
+    early = workbook('<c s="1"><v>45292</v></c>', styles, '<workbookPr date1904="1"/>')
+    assert extract(early).units[0][1] == "2028-01-02 00:00:00"
+    assert [kind_of(c) for c in ("General", "0%", '"day" 0', "h:mm AM/PM", "[mm]:ss", "@", "")] == ["number", "number", "number", "date", "elapsed", "number", "number"]
+
+
+def test_reports_as_files_and_documents_over_the_limit(spark, tmp_path, monkeypatch):
+    import json
+
+    files = spark.createDataFrame([(bytearray(docx("all fine")),), (bytearray(b"PK" + bytes(20 * 1024 * 1024)),)], "content binary")
+    reports = inspect_documents(files).cache()
+    rows = {r["over_limit"]: r for r in reports.collect()}
+    assert rows[False]["sha256"] == rows[False]["doc"] and rows[True]["sha256"] is None and rows[True]["issues"][0] == FAILED and rows[True]["decision"] == "BLOCKED"
+    from palisade.sources.documents import write_reports
+
+    write_reports(reports, str(tmp_path / "r"))
+    write_reports(reports, f"file://{tmp_path}/r")
+    names = sorted(p.name for p in (tmp_path / "r").iterdir())
+    assert names == sorted(f"{r['doc']}.{x}" for r in rows.values() for x in ("json", "html"))
+    told = json.loads((tmp_path / "r" / f"{rows[False]['doc']}.json").read_text())
+    assert told["decision"] == "ALLOWED" and told["findings"][0]["decision"] == "ALLOWED" and "all fine" not in (tmp_path / "r" / f"{rows[False]['doc']}.html").read_text()
