@@ -140,6 +140,12 @@ def false_block_codes(judged: DataFrame, *, label: str = "label", analysis: str
     return judged.where(F.col(label) == "allowed").select(F.explode(f"{analysis}.matched_policy_codes").alias("code")).groupBy("code").agg(F.count("*").alias("false_blocks"))
 
 
+def false_block_sources(judged: DataFrame, *, label: str = "label", analysis: str = "analysis", sources: str = "sources") -> DataFrame:
+    """How many allowed rows that were blocked come from each source. sources: an array, in which a source counts once a row."""
+    wrong = judged.where((F.col(label) == "allowed") & (F.col(f"{analysis}.decision") == "BLOCKED"))
+    return wrong.select(F.explode(F.array_distinct(sources)).alias("source")).groupBy("source").agg(F.count("*").alias("false_blocks"))
+
+
 def expected_decision(value: Column) -> Column:
     """ALLOWED or BLOCKED for what a workbook says; null for anything else."""
     v = F.lower(F.trim(value))

@@ -5,9 +5,11 @@ A stage is made on each worker by its loader. Whatever goes wrong in it makes th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from math import isfinite
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,13 +50,16 @@ class Stage:
     def extend(self, judged: DataFrame, text: str, policies: list[Policy]) -> DataFrame:
         codes = {c: sorted(p.code for p in policies if p.category == c) for c in {p.category for p in policies}}
         load, strict = self.load, self.strict
+        made: list = []  # the model, once in a task
 
         @F.pandas_udf(T.ArrayType(T.StringType()))
         def more(texts: pd.Series) -> pd.Series:
-            try:
-                stage = load()
-            except Exception:  # a model that doesn't load fails closed
-                stage = None
+            if not made:
+                try:
+                    made.append(load())
+                except Exception:  # a model that doesn't load fails closed
+                    made.append(None)
+            stage = made[0]
 
             def one(value):
                 if value is None:
@@ -94,6 +99,71 @@ def classifier(load: Callable, threshold: float | dict[str, float], max_length:
     return Stage(build)
 
 
+def local_folder(path: str) -> Path:
+    """A folder on this machine, named by its whole path; models come from nowhere else."""
+    folder = Path(path)
+    if not folder.is_absolute() or not folder.is_dir():
+        raise ValueError("no local model")
+    return folder
+
+
+def local_classifier(path: str, load: Callable[[Path], tuple[set[str], Callable]]) -> Stage:
+    """The classifier in a folder that every worker has, as its manifest says: labels, thresholds and the longest input.
+
+    load(folder) gives the labels of the model and the function from a text to their scores.
+    """
+
+    def build():
+        folder = local_folder(path)
+        labels, model = load(folder)
+        if set(labels) != set(LABELS):
+            raise ValueError("invalid labels")
+        manifest = json.loads((folder / "training_manifest.json").read_text(encoding="utf-8"))
+        threshold, longest = manifest.get("decision_thresholds") or manifest.get("decision_threshold"), manifest["max_length"]
+        if not isinstance(longest, int) or isinstance(longest, bool):
+            raise ValueError("invalid model length")
+        return classifier(lambda: model, threshold, longest).load()
+
+    return Stage(build)
+
+
+# The guards that may be used, and the labels that each must have.
+GUARD_LABELS = {"protectai": {"SAFE", "INJECTION"}, "deepset": {"LEGIT", "INJECTION"}}
+_ATTACK = "INJECTION"
+
+
+def listed_guard(name: str, path: str, load: Callable[[Path], tuple[list[str], int, Callable, Callable]], threshold: float = 0.9) -> Stage:
+    """A guard of the list, from a folder that every worker has.
+
+    load(folder) gives the labels by number, how many special tokens an input gets, and the functions from a text to token
+    ids and from ids to the scores of the labels. A guard that isn't listed, has other labels, a threshold out of
+    range or scores that are no probabilities makes decisions unavailable.
+    """
+
+    def build():
+        if name not in GUARD_LABELS:
+            raise ValueError("guard isn't listed")
+        if isinstance(threshold, bool) or not isinstance(threshold, (int, float)) or not isfinite(threshold) or not 0.5 <= threshold <= 1:
+            raise ValueError("invalid threshold")
+        labels, specials, tokenise, scores = load(local_folder(path))
+        if set(labels) != GUARD_LABELS[name]:
+            raise ValueError("other labels than listed")
+        width = 512 - specials
+        if width < 32:
+            raise ValueError("no room for tokens")
+        attack = labels.index(_ATTACK)
+
+        def score(ids) -> float:
+            values = scores(ids)
+            if len(values) != len(labels) or any(not isfinite(v) or not 0 <= v <= 1 for v in values):
+                raise ValueError("invalid scores")
+            return values[attack]
+
+        return guard(lambda: (tokenise, score), threshold, width).load()
+
+    return Stage(build, strict=True)
+
+
 def guard(load: Callable, threshold: float = 0.9, width: int = 512, overlap: int = 64) -> Stage:
     """load() gives (tokenise, score): token ids of a text, and an attack score of some ids. Fires at the threshold."""
 

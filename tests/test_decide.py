@@ -214,3 +214,42 @@ def test_scan_finds_what_plain_searches_find():
         plain = {n for n, p in zip(numbers, patterns) if regex.search(p, text, regex.I)}
         plain |= ({own} if "mount" in text else set()) | ({phrase} if "d0 anyth1ng" in text else set())
         assert scanner.find(text) == sorted(plain), text
+
+
+def test_listed_guards_and_local_classifiers(spark, tmp_path):
+    import json
+
+    from palisade.operators.scoring import listed_guard, local_classifier
+
+    rows = spark.createDataFrame([("fine words",), ("gizmo here",)], "text string")
+    policies = [Policy("ATTACK", "prompt_injection", "critical", "Attack", keywords=("zzz",)), Policy("PERSON", "pii", "low", "Person", keywords=("zzz",))]
+    here, away = str(tmp_path), str(tmp_path / "none")
+
+    def guarding(labels=("SAFE", "INJECTION"), specials=2, sure=0.95):
+        return lambda folder: (list(labels), specials, str.split, lambda ids: [1 - sure, sure] if "gizmo" in ids else [0.9, 0.1])
+
+    def told(stage):
+        out = analyze(rows, policies=policies, scorers=[stage]).collect()
+        return ["unavailable" if r["analysis"]["safe_detection_summary"] == [UNAVAILABLE] else ",".join(r["analysis"]["matched_policy_codes"]) for r in out]
+
+    assert told(listed_guard("protectai", here, guarding())) == ["", "ATTACK"]
+    for broken in (
+        listed_guard("other", here, guarding()), listed_guard("deepset", here, guarding()), listed_guard("protectai", away, guarding()), listed_guard("protectai", here, guarding(), 0.4),
+        listed_guard("protectai", here, guarding(specials=490)), listed_guard("protectai", "relative", guarding()),
+    ):
+        assert told(broken) == ["unavailable"] * 2
+    assert told(listed_guard("protectai", here, guarding(sure=1.5))) == ["", "unavailable"]
+
+    def scoring(folder):
+        assert folder == tmp_path
+        return set(LABELS), lambda text: {x: 0.9 if x == "blocked_pii" and "gizmo" in text else 0.8 if x == "allowed" and "gizmo" not in text else 0.0 for x in LABELS}
+
+    def manifest(**more):
+        (tmp_path / "training_manifest.json").write_text(json.dumps({"decision_threshold": 0.6, "max_length": 64, **more}))
+
+    manifest()
+    assert told(local_classifier(here, scoring)) == ["", "PERSON"]
+    assert told(local_classifier(here, lambda folder: ({"x"}, None))) == ["unavailable"] * 2
+    for more in ({"max_length": 8}, {"decision_threshold": 0.1}, {"decision_thresholds": {"blocked_pii": 0.9}}, {"max_length": True}):
+        manifest(**more)
+        assert told(local_classifier(here, scoring)) == ["unavailable"] * 2
