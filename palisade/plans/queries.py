@@ -230,7 +230,8 @@ def topic_questions(spark, sf_dir):
 def _raw(spark, sf_dir) -> DataFrame:
     """Labelled documents as raw rows of a data set, with groups of five neighbours."""
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
-    both = docs.join(labels, "doc_id")
+    # a label is a few bytes: up to this many are sent to the texts, and no text is shuffled
+    both = docs.join(F.broadcast(labels) if labels.count() <= 2_000_000 else labels, "doc_id")
     split = F.element_at(F.array(*[F.lit(x) for x in ("unspecified", "train", "validation", "test", "unspecified", "unspecified", "unspecified")]), (F.col("doc_id") % 7 + 1).cast("int"))
     return both.select("doc_id", "text", "source", "toxic", split.alias("split"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 5).cast("string")).alias("group_id"))
 
@@ -357,6 +358,11 @@ def false_block_codes(spark, sf_dir):
     return evaluate.false_block_codes(_truth(spark, sf_dir).withColumn("label", prepare.binary_label(F.col("toxic"))))
 
 
+def false_block_sources(spark, sf_dir):
+    rows = _truth(spark, sf_dir).withColumn("label", prepare.binary_label(F.col("toxic"))).withColumn("sources", F.array("source", F.concat(F.lit("lang "), "lang"), "source"))
+    return evaluate.false_block_sources(rows)
+
+
 def workbook_metrics(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     action = F.when(F.col("toxic") == 1, "Block").when(F.col("toxic") == 0, "safe").otherwise("?")
@@ -374,6 +380,25 @@ def rate_limit(spark, sf_dir):
     return out.select("event_id", "identity", "window_start", F.col("nth").cast("long").alias("nth"), "denied")
 
 
+def training_counts(spark, sf_dir):
+    """Train on the labelled documents, split by id, with seven classes from id and toxicity; the manifest's counts."""
+    import uuid
+
+    from ..operators.training import train
+    from ..session import shared_dir
+
+    name = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    raw = _raw(spark, sf_dir).select("doc_id", "text", F.when(F.col("toxic") == 0, "allowed").otherwise(name).alias("label"), folded_digest(F.col("text")).alias("digest"))
+    once = raw.groupBy("digest").agg(F.min(F.struct("doc_id", "text", "label")).alias("r")).select("digest", "r.*")
+    bucket = F.col("doc_id") % 20
+    split = F.when(bucket < 16, "train").when(bucket < 18, "validation").otherwise("test")
+    none = F.array().cast("array<struct<source:string,original_split:string,row_split:string>>")
+    splits = once.select(split.alias("split"), "text", "label", none.alias("provenance"))
+    made = train(splits, f"{shared_dir(spark)}/model-{uuid.uuid4().hex}", caps={"train": 50, "validation": 40, "test": 30}, features=4096, max_iter=5)
+    rows = [(s, label, n, made["selected_counts"][s][label]) for s, counts in made["source_counts"].items() for label, n in counts.items()]
+    return spark.createDataFrame(rows, "split string, label string, source_count long, selected_count long")
+
+
 def rate_limit_stream(spark, sf_dir):
     """The events as a stream, each decided from keyed state; what the stream has written, read again."""
     import uuid
@@ -421,8 +446,8 @@ QUERIES = {
         chunk_windows, cross_turn_text, conversation_inspection, seed_merge, topic_questions, label_adapter,
         raw_row_adapter, split_buckets, dedupe_records, group_propagation, provenance_filter, bipia_compose, topk_per_label,
         balanced_sample, leakage_check, single_threshold, calibrated_metrics, class_candidates, class_thresholds,
-        argmax_metrics, confusion, eval_by_source, gateway_evaluation, false_block_codes, workbook_metrics, rate_limit,
-        rate_limit_stream, masked_documents,
+        argmax_metrics, confusion, eval_by_source, gateway_evaluation, false_block_codes, false_block_sources, workbook_metrics, rate_limit,
+        rate_limit_stream, masked_documents, training_counts,
         rate_counts, audit_page, audit_rows, policy_cues, variant_cues, own_policies, model_stages, adapted_cues,
         file_sources, manifest_check, request_gates, identity_hashes,
     )

@@ -200,11 +200,17 @@ SQL = {
     "eval_by_source": f"{_TRUTH} SELECT source, toxic, count(*) AS n, sum(blocked::INT)::BIGINT AS blocked FROM truth GROUP BY ALL",
     "gateway_evaluation": f"{_TRUTH} SELECT {_LABEL} AS label, count(*) AS total, sum(blocked::INT)::BIGINT AS deterministic, 0::BIGINT AS model_added FROM truth GROUP BY ALL",
     "false_block_codes": f"{_TRUTH} SELECT code, count(DISTINCT doc_id) AS false_blocks FROM hits JOIN labels USING (doc_id) WHERE labels.toxic = 0 GROUP BY code",
+    "false_block_sources": f"{_TRUTH}, w AS (SELECT documents.source AS source, documents.lang AS lang FROM truth JOIN documents USING (doc_id) WHERE blocked AND toxic = 0) "
+    "SELECT source, count(*) AS false_blocks FROM (SELECT source FROM w UNION ALL SELECT 'lang ' || lang FROM w) GROUP BY source",
     "workbook_metrics": f"WITH {_DOCS}, rows_ AS (SELECT sha256(text) AS h, {_DECISION} AS d, CASE toxic WHEN 1 THEN 'BLOCKED' WHEN 0 THEN 'ALLOWED' END AS e FROM result LEFT JOIN labels USING (doc_id)), "
     "c AS (SELECT count(*) AS n FROM (SELECT h FROM rows_ WHERE e IS NOT NULL GROUP BY h HAVING count(DISTINCT e) > 1)) SELECT count(*) AS rows, count(e) AS labeled, count(*) FILTER (d = e) AS matched, count(*) FILTER (e = 'BLOCKED' AND d = 'ALLOWED') AS false_allowed, "
     "count(*) FILTER (e = 'ALLOWED' AND d = 'BLOCKED') AS false_blocked, 0::BIGINT AS detector_errors, count(DISTINCT h) AS unique_prompts, (SELECT n FROM c) AS conflicting_label_groups, round(count(*) FILTER (d = e) / count(e), 6) AS accuracy FROM rows_",
     "rate_limit": "SELECT event_id, user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER w AS nth, row_number() OVER w > 2 AS denied FROM events WINDOW w AS (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id)",
     "rate_limit_stream": "SELECT event_id, user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER w AS nth, row_number() OVER w > 2 AS denied FROM events WINDOW w AS (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id)",
+    "training_counts": f"WITH {_RAW}, once AS (SELECT digest, min(doc_id) AS doc_id, arg_min(CASE toxic WHEN 0 THEN 'allowed' ELSE {LABELS!r}[(doc_id % 7 + 1)::INT] END, doc_id) AS label FROM raw GROUP BY digest), "
+    "parted AS (SELECT label, CASE WHEN doc_id % 20 < 16 THEN 'train' WHEN doc_id % 20 < 18 THEN 'validation' ELSE 'test' END AS split FROM once), counted AS (SELECT split, label, count(*) AS n FROM parted GROUP BY ALL), "
+    f"whole AS (SELECT split, label, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT unnest(['train', 'validation', 'test']) AS split), (SELECT unnest({LABELS!r}) AS label)) LEFT JOIN counted USING (split, label)) "
+    "SELECT split, label, n AS source_count, least(n, CASE split WHEN 'train' THEN least(50, min(n) OVER (PARTITION BY split)) WHEN 'validation' THEN 40 ELSE 30 END) AS selected_count FROM whole",
     "masked_documents": r"SELECT doc_id, length(m)::BIGINT AS characters, sha256(m) AS masked_sha256 FROM (SELECT doc_id, "
     r"regexp_replace(regexp_replace(text, '(?i)[a-z0-9._]+@[a-z0-9.]+\.[a-z]+', '<EMAIL>', 'g'), '[0-9]+(?:\.[0-9]+){3}', '<IP_ADDRESS>', 'g') AS m FROM documents)",
     "rate_counts": "SELECT user_id AS identity, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS requests, greatest(count(*) - 2, 0) AS denied FROM events GROUP BY ALL",
