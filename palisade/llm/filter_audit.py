@@ -29,7 +29,6 @@ from .common import SPACE, staged
 
 #: The five conditions of the standard audit, in the order of their bits.
 FILTERS = "ABCDE"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def filter_flags(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     holds = F.lit(False)
     for symbol in symbols:
         holds = holds | F.col("t").contains(symbol)
-    capitals = F.length("t") - F.length(F.translate("t", _UPPER, ""))
+    capitals = F.regexp_count("t", F.lit("[A-Z]"))
     plain = staged(texts.select("id", "digest", "part", (100 * capitals.cast("long") > max_upper_percent * F.length("t").cast("long")).alias("fails_C"), holds.alias("fails_D")), "audit-flags")
     copied = plain.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
     marks = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("labelled")).agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
