@@ -64,7 +64,8 @@ class UnitIds:
 
     What counts as a letter, a digit or a space has long been settled for ASCII, the Latin letters and their punctuation:
     units of these get the same ids from the same vocabulary as ranks, by a faster library. The tokenizer's own library
-    encodes all others.
+    encodes all others. Where many units are new, as in texts of made-up words, keeping them costs more than it
+    saves: then settled texts are encoded whole, and one of 32 still tells how many units are new.
     """
 
     def __init__(self, path: str = TOKENIZER, ranks: str = RANKS, keep: int = 150_000):
@@ -73,17 +74,25 @@ class UnitIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        plain, whole = Tokens(ranks).encoding.encode_ordinary, self.tokenizer.encode
+        self.plain, whole = Tokens(ranks).encoding.encode_ordinary, self.tokenizer.encode
 
         def encode(unit: str) -> bytes:
+            self.new += 1
             settled = unit.isascii() or not _OTHER.search(unit)
-            return array("I", plain(unit) if settled else whole(unit, add_special_tokens=False).ids).tobytes()
+            return array("I", self.plain(unit) if settled else whole(unit, add_special_tokens=False).ids).tobytes()
 
-        self.known = _Known(encode, keep)
+        self.known, self.new, self.share, self.turn = _Known(encode, keep), 0, 0.0, 0
 
     def encode(self, text: str | None) -> bytes:
+        self.turn += 1
+        if self.share > 0.08 and self.turn % 32 and text and (text.isascii() or not _OTHER.search(text)):
+            return array("I", self.plain(text)).tobytes()
         self.known.shrink()
-        return b"".join(map(self.known.__getitem__, _UNIT.findall(text or "")))
+        units, before = _UNIT.findall(text or ""), self.new
+        ids = b"".join(map(self.known.__getitem__, units))
+        if len(units) > 50:
+            self.share += ((self.new - before) / len(units) - self.share) / 16
+        return ids
 
 
 def cuts(size: int, length: int) -> list[tuple[int, int]]:
