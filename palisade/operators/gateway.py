@@ -10,11 +10,24 @@ from ..settings import Settings
 from .decide import enabled_policies
 
 
-def rate_limit(requests: DataFrame, *, identity: str = "identity", ts: str = "ts", order: str | None = None, limit: int = 30, seconds: int = 60) -> DataFrame:
-    """Adds window_start, nth (of its identity and epoch-aligned window) and denied. Denied requests count as well."""
-    start = F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / seconds) * seconds)
-    nth = F.row_number().over(Window.partitionBy(identity, "window_start").orderBy(ts, *([order] if order else [])))
-    return requests.withColumn("window_start", start).withColumn("nth", nth).withColumn("denied", F.col("nth") > limit)
+def rate_limit(requests: DataFrame, *, identity: str = "identity", ts: str = "ts", order: str | None = None, limit: int = 30, seconds: int = 60, parts: int = 60) -> DataFrame:
+    """Adds window_start, nth (of its identity and epoch-aligned window) and denied. Denied requests count as well.
+
+    A window is cut into at most `parts` parts of whole seconds: requests are ranked inside a part, and the sizes of the
+    parts before it are added, so one identity's busy window isn't one task's work.
+    """
+    at = F.unix_timestamp(ts)
+    start, width = F.floor(at / seconds) * seconds, max(1, -(-seconds // parts))
+    placed = requests.withColumn("window_start", F.timestamp_seconds(start)).withColumn("__part", F.floor((at - start) / width))
+    key = [identity, "window_start", "__part"]
+    sizes = placed.groupBy(*key).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(identity, "window_start").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(identity).alias("__i"), F.col("window_start").alias("__w"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(ts, *([order] if order else [])))
+    ranked = placed.withColumn("__inside", inside)
+    same = F.col(identity).eqNullSafe(F.col("__i")) & F.col("window_start").eqNullSafe(F.col("__w")) & F.col("__part").eqNullSafe(F.col("__p"))
+    nth = (F.col("__before") + F.col("__inside")).cast("int")
+    return ranked.join(before, same).select(*requests.columns, "window_start", nth.alias("nth"), (nth > limit).alias("denied"))
 
 
 def rate_counts(requests: DataFrame, *, identity: str = "identity", ts: str = "ts", limit: int = 30, seconds: int = 60, late: str | None = None) -> DataFrame:
