@@ -400,6 +400,22 @@ def test_mixing(spark, docs, empty):
     assert {r["copies"] for r in mixing.fair_queue(nothing).collect()} == {0}
 
 
+def test_mixing_targets_with_several_sources_that_are_not_filled(spark):
+    """The contract's resharing, round by round, where more than one source stays under its cap."""
+    r = random.Random(5)
+    cases = [{"a": 100, "b": 100, "c": 100}, *[{f"s{i}": r.choice([0, 9, 500 + r.randrange(500), 500 + r.randrange(500)]) for i in range(n)} for n in (9, 20)]]
+    for case in cases:
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(case))}
+        left, want, rest = set(case), {}, 1.5 * sum(case.values())
+        while over := {s for s in left if rest * weight[s] / sum(weight[x] for x in left) > 2 * case[s]}:
+            want |= {s: 2.0 * case[s] for s in over}
+            rest -= sum(want[s] for s in over)
+            left -= over
+        want |= {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        got = mixing.source_targets(spark.createDataFrame(list(case.items()), "source string, size long")).collect()
+        assert len(left) > 1 and {x["source"]: x["target"] for x in got} == pytest.approx(want)
+
+
 def test_mixing_cuts_between_rows_of_one_id(spark):
     """Rows of no id or of one id are taken one by one, in the stage as in the queue, also where texts are equal."""
     r = random.Random(8)
