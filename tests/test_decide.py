@@ -253,3 +253,27 @@ def test_listed_guards_and_local_classifiers(spark, tmp_path):
     for more in ({"max_length": 8}, {"decision_threshold": 0.1}, {"decision_thresholds": {"blocked_pii": 0.9}}, {"max_length": True}):
         manifest(**more)
         assert told(local_classifier(here, scoring)) == ["unavailable"] * 2
+
+
+def test_python_gets_few_texts_at_once(spark):
+    """A task of any length sends its texts in batches bounded in rows and bytes."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def rows_at_once(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "10000")
+        spark.conf.set(names[1], str(2**31 - 1))
+        many = spark.range(0, 3000, 1, 1).withColumn("text", F.concat(F.lit("caf\u00e9 \u4e00 "), F.col("id").cast("string")))
+        judged = analyze(many)
+        assert judged.select(rows_at_once("text").alias("n")).agg(F.max("n")).head()[0] <= 256
+        long = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+        assert long.select(rows_at_once("text").alias("n")).agg(F.max("n")).head()[0] <= 25
+        assert judged.count() == 3000
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
