@@ -101,3 +101,16 @@ def test_recalibration(spark, splits, trained, tmp_path):
         with pytest.raises(TrainingError):
             recalibrate(splits, bad, str(tmp_path / "n"))
     assert not (tmp_path / "n").exists()
+
+
+def test_rows_are_made_once(spark, splits, tmp_path):
+    """Checks, counts, samples and checksums read staged rows, so costly splits are computed once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    costly = splits.withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    train(costly, str(tmp_path / "m"), caps={"train": 20, "validation": 6, "test": 6}, **SMALL)
+    assert made.value == splits.count()
