@@ -1,9 +1,9 @@
 """A rate limiter on a stream: one decision for each request, from state that is dropped once its window has passed.
 
-State is one count for each identity and epoch-aligned window, kept by Spark's state store and restored from the query's
-checkpoint. A micro-batch numbers the requests of an identity on from that count, in order of time and then of `order`, so
-a stream that brings requests in order decides as operators.gateway.rate_limit does over the whole table. A timer at
-the end of a window removes its count when the watermark passes it.
+State is one value for each identity, with the counts of its epoch-aligned windows, kept by Spark's state store and restored
+from the query's checkpoint (one of a version that kept a count a window can't be continued). A micro-batch numbers the
+requests of an identity on from that count, in order of time and then of `order`, so a stream that brings requests in order decides as operators.gateway.rate_limit does over the whole table. A timer at
+the end of an identity's first window removes the counts that the watermark has passed and sets the next.
 
 Defined results: a request that comes later than the watermark gets no row, for its count may be gone; whoever waits for a
 decision reads none as a denial. A null identity is one identity of its own. A null time gets no row.
@@ -11,6 +11,7 @@ decision reads none as a denial. A null identity is one identity of its own. A n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,26 +32,40 @@ class WindowCounts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "start long", "n long")
+        # every access asks the JVM, so an identity's windows are one value: pairs of start and count, as JSON
+        self.counts = handle.getValueState("windows", "pairs string")
+
+    def _held(self) -> dict[int, int]:
+        value = self.counts.get()
+        return dict(json.loads(value[0])) if value is not None else {}
+
+    def _keep(self, held: dict[int, int]) -> None:
+        self.counts.update((json.dumps(list(held.items())),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # only what a micro-batch has of an identity is held together
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        nth = batch.groupby("start").cumcount() + 1
-        for start, n in batch["start"].value_counts().items():
-            start, n = int(start), int(n)
-            before = self.counts.getValue((start,))[0] if self.counts.containsKey((start,)) else 0
-            nth[batch["start"] == start] += before
-            self.counts.updateValue((start,), (before + n,))
-            if not before:
-                self.handle.registerTimer((start + self.seconds) * 1000)
-        batch["nth"] = nth.astype("int64")
+        held, nth = self._held(), []
+        first = min(held, default=None)
+        for start in batch["start"].tolist():
+            held[start] = held.get(start, 0) + 1
+            nth.append(held[start])
+        self._keep(held)
+        # one timer at a time, for the first window to end
+        if first is None or min(held) < first:
+            self.handle.registerTimer((min(held) + self.seconds) * 1000)
+        batch["nth"] = pd.Series(nth, index=batch.index, dtype="int64")
         yield batch[[*self.columns, "start", "nth"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.seconds
-        if self.counts.containsKey((start,)):
-            self.counts.removeKey((start,))
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = self._held()
+        left = {start: n for start, n in held.items() if (start + self.seconds) * 1000 > now}
+        if left:
+            self._keep(left)
+            self.handle.registerTimer((min(left) + self.seconds) * 1000)
+        elif held:
+            self.counts.clear()
         yield from ()
 
     def close(self) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators.gateway import rate_limit
-from palisade.streaming.limiter import limit_stream, write_decisions
+from palisade.streaming.limiter import WindowCounts, limit_stream, write_decisions
 
 SCHEMA = "event_id long, ts timestamp, identity string"
 T0 = dt.datetime(2026, 1, 1, 0, 0, 0)
@@ -73,3 +73,35 @@ def test_passed_windows_leave_no_state_and_late_requests_no_row(small, tmp_path)
     # counts of the hours before are gone; what is left is of the last requests
     left = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] if query.recentProgress else 0
     assert left <= 20
+
+
+def test_state_calls_do_not_grow_with_windows():
+    """An identity with requests in a hundred windows costs one read, one write and one timer a micro-batch."""
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    counter = WindowCounts(60, ["ts"], ["ts"])
+    counter.init(Handle())
+    batch = pd.DataFrame({"ts": range(200), "start": [60 * (i // 2) for i in range(200)]})
+    (out,) = counter.handleInputRows(("k",), iter([batch]), None)
+    assert out["nth"].tolist() == [1, 2] * 100 and calls == ["get", "update", 60_000]
+    (out,) = counter.handleInputRows(("k",), iter([batch.tail(1)]), None)
+    assert out["nth"].tolist() == [3] and calls[3:] == ["get", "update"]
