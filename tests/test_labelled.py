@@ -1,8 +1,10 @@
 """Queries over labelled documents judge those alone that their result needs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.plans import queries
+from palisade.policies import UNAVAILABLE
 
 
 @pytest.fixture
@@ -36,3 +38,29 @@ def test_only_rows_with_the_label_are_judged(spark, tables, monkeypatch):
     wrong = [docs[d][0] for d in allowed if docs[d][1]]
     assert codes["PASSWORD"] == len(wrong)
     assert sources == {"lang en": len(wrong), **{s: wrong.count(s) for s in wrong}}
+
+
+def test_workbook_metrics_judge_once(spark):
+    """Each row's analysis is made once, however many figures there are."""
+    from palisade.operators.evaluate import workbook_metrics
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def blocked(sha):
+        made.add(1)
+        return sha in ("a", "b")
+
+    rows = spark.createDataFrame(
+        [("a", "BLOCKED"), ("a", "ALLOWED"), ("a", None), ("b", "BLOCKED"), ("c", "BLOCKED"), ("c", "BLOCKED"), ("d", None), (None, "ALLOWED"), (None, "BLOCKED")], "sha256 string, expected string"
+    )
+    # one-element explodes, as analyze has: no plan drops what makes them
+    judged = rows.select("*", F.explode(F.array(F.struct(blocked("sha256").alias("b")))).alias("j"))
+    decision = F.when(F.col("j.b"), "BLOCKED").otherwise("ALLOWED")
+    reasons = F.when(F.col("sha256").isNull(), F.array(F.lit(UNAVAILABLE))).otherwise(F.array().cast("array<string>"))
+    rows = judged.select("sha256", "expected", F.struct(decision.alias("decision"), reasons.alias("safe_detection_summary")).alias("analysis"))
+    got = workbook_metrics(rows).collect()
+    assert made.value == 9
+    want = {"rows": 9, "labeled": 7, "matched": 3, "false_allowed": 3, "false_blocked": 1, "detector_errors": 2, "unique_prompts": 4, "conflicting_label_groups": 2, "accuracy": 3 / 7}
+    assert [r.asDict() for r in got] == [want]
+    assert [r.asDict() for r in workbook_metrics(rows.where("false")).collect()] == [dict.fromkeys(want, 0) | {"accuracy": None}]
