@@ -20,12 +20,12 @@ Other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,36 +39,69 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The id after the last rank: it marks the end of a document.
 END = 50256
 
-#: A word with the one space before it, or white space that belongs to no word. The pre-tokenisation never crosses these.
-#: Python's \s holds U+001C to U+001F, which the tokenizer's doesn't.
-_UNIT = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
-
 
 class Tokens:
-    """Encodes texts; the ids of a unit are looked up once and kept as bytes, up to a bounded number of units."""
+    """Encodes columns of texts: each distinct word of a column once, with the space before it.
+
+    The pre-tokenisation never crosses a space that begins a word, so words can be encoded in any order, many in one call
+    (`keep` at most), and a text's ids are gathered from those of its words. A text in which a space stands before other
+    white space or the end is encoded whole.
+    """
 
     def __init__(self, ranks: str = RANKS, keep: int = 100_000):
         import tiktoken
 
         pairs = (line.split() for line in Path(ranks).read_bytes().splitlines() if line)
-        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-        self.keep, self.known = keep, {}
-        self.end = np.array([END], dtype=np.uint16).tobytes()
+        tokens = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
+        self.keep, self.size = keep, np.zeros(max(tokens.values()) + 1, dtype=np.int64)
+        self.size[list(tokens.values())] = [len(t) for t in tokens]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), dtype=np.uint16)
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with a space before each, and how many there are up to the end of each. No word begins with white space."""
+        parts, ends, held = [], [], 0
+        for at in range(0, len(words), self.keep):
+            some = words.slice(at, self.keep)
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            ids = self._ids(" " + joined)
+            byte, stop = np.cumsum(self.size[ids]), np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + 1)
+            n = np.searchsorted(byte, stop) + 1
+            if not np.array_equal(byte[n - 1], stop):
+                raise ValueError("a token goes beyond its word")
+            parts.append(ids)
+            ends.append(held + n)
+            held += len(ids)
+        return np.concatenate(parts or [np.empty(0, np.uint16)]), np.concatenate(ends or [np.empty(0, np.int64)])
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and END; null is an empty text."""
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds, coded = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        bounds = bounds - bounds[:1]
+        which, words = coded.indices.to_numpy(), coded.dictionary
+        first = pc.utf8_slice_codeunits(words, 0, 1).dictionary_encode()
+        odd = np.array([not c or c.isspace() for c in first.dictionary.to_pylist()], dtype=bool)[first.indices.to_numpy()]
+        ids, ends = self._word_ids(words.filter(pa.array(~odd)))
+        n, begin = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        n[~odd], begin[~odd] = np.diff(ends, prepend=0), np.concatenate([[0], ends])[:-1]
+
+        bad, n = odd[which], n[which]
+        bad[bounds[:-1]], n[bounds[:-1]] = False, 0  # what stands before the first space is encoded on its own
+        whole, stop = np.concatenate([[0], np.cumsum(bad)]), np.concatenate([[0], np.cumsum(n)])
+        gathered = ids[np.repeat(begin[which] - stop[:-1], n) + np.arange(stop[-1])]
+        end, out = np.array([END], dtype=np.uint16), []
+        for row, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if whole[a] < whole[b]:
+                out.append(np.concatenate([self._ids(texts[row].as_py()), end]))
+            else:
+                out.append(np.concatenate([self._ids(words[which[a]].as_py()), gathered[stop[a] : stop[b]], end]))
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        known, encode = self.known, self.encoding.encode_ordinary
-        if len(known) > self.keep:
-            known.clear()
-        out: list[bytes] = []
-        for unit in _UNIT.findall(text or ""):
-            ids = known.get(unit)
-            if ids is None:
-                ids = np.array(encode(unit), dtype=np.uint16).tobytes()
-                if len(unit) <= 64:
-                    known[unit] = ids
-            out.append(ids)
-        out.append(self.end)
-        return np.frombuffer(b"".join(out), dtype=np.uint16)
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode([int(x) for x in ids if x != END])
@@ -177,8 +210,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
 
         block, held = [], 0
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
-                ids = tokens.encode(value.as_py())
+            for key, ids in zip(batch.column(0), tokens.encode_all(batch.column(1))):
                 block.append((key.as_py(), ids))
                 held += len(ids)
                 if held >= block_tokens:

@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import release, short_batches, staged
-from .packing import _UNIT, RANKS, Tokens
+from .packing import RANKS, Tokens
 
 #: Where the tokenizer lies on every machine, unless the caller names another place.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END = 0
+#: A word with the one space before it, or white space that belongs to no word. The pre-tokenisation never crosses these.
+#: Python's \s holds U+001C to U+001F, which the tokenizer's doesn't.
+_UNIT = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 #: Characters outside ASCII, the Latin blocks (without their two spaces) and common punctuation.
 _OTHER = re.compile("[^\\x00-\\x7f\\u00a1-\\u024f\\u2010-\\u2027]")
 

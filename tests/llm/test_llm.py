@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,21 @@ def test_tokens_equal_the_tokenizer():
         assert list(t.encode(text)[:-1]) == t.encoding.encode_ordinary(text)
 
 
+def test_tokens_of_columns_of_new_words(monkeypatch):
+    """Many new words take few calls, and no cut of a text changes its ids."""
+    r = random.Random(5)
+    t = packing.Tokens(keep=700)
+    whole, calls = t.encoding.encode_ordinary, []
+    parts = [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "the", "of", "word,", "é", "中", "'s", "12", "."]
+    texts = [None, "", " ", "a ", "  a", *["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(2000)]]
+    for column in (texts, [None] * 3, []):
+        got = t.encode_all(pa.array(["x  y", *column], pa.string()).slice(1))
+        assert [g.tolist() for g in got] == [[*whole(x or ""), packing.END] for x in column]
+    new = " ".join("".join(r.choice("abdeorst") for _ in range(9)) for _ in range(5000))
+    monkeypatch.setattr(type(t.encoding), "encode_ordinary", lambda self, text: calls.append(text) or whole(text))
+    assert t.encode(new).tolist() == [*whole(new), packing.END] and len(calls) < 20
+
+
 def test_packing_round_trip(spark, docs, empty):
     rows = packing.pack(docs, length=128, block_tokens=2000).collect()
     t, parts = packing.Tokens(), Counter()
