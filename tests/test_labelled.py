@@ -64,3 +64,14 @@ def test_workbook_metrics_judge_once(spark):
     want = {"rows": 9, "labeled": 7, "matched": 3, "false_allowed": 3, "false_blocked": 1, "detector_errors": 2, "unique_prompts": 4, "conflicting_label_groups": 2, "accuracy": 3 / 7}
     assert [r.asDict() for r in got] == [want]
     assert [r.asDict() for r in workbook_metrics(rows.where("false")).collect()] == [dict.fromkeys(want, 0) | {"accuracy": None}]
+
+
+def test_workbook_labels_move_no_text(spark, tables, monkeypatch):
+    folder, docs, labels = tables
+    judged, real = [], queries.analyze_distinct
+    monkeypatch.setattr(queries, "analyze_distinct", lambda df, *a, **o: judged.append(df.columns) or real(df, *a, **o))
+    (row,) = queries.workbook_metrics(spark, folder).collect()
+    assert judged == [["doc_id", "text", "sha256"]]
+    unlabelled = len(docs) - len({d for d, _ in labels})
+    assert (row["rows"], row["labeled"], row["unique_prompts"]) == (len(labels) + unlabelled, len(labels), len(docs))
+    assert row["matched"] == sum(docs[d][1] == bool(toxic) for d, toxic in labels)
